@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, packing, quality
+from . import decontaminate, language, licenses, packing, quality, simhash
 
 QUERIES = {
     "op1_language_id": language.op1,
     "op3_benchmark_decontamination": decontaminate.op3,
     "op5_best_fit_packing": packing.op5,
+    "op7_simhash_near_dedup": simhash.op7,
     "op9_quality_rules": quality.op9,
     "op10_license_scans": licenses.op10,
 }
