@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, packing, quality, simhash
+from . import decontaminate, html_text, language, licenses, packing, quality, simhash
 
 QUERIES = {
     "op1_language_id": language.op1,
+    "op2_html_extraction": html_text.op2,
     "op3_benchmark_decontamination": decontaminate.op3,
     "op5_best_fit_packing": packing.op5,
     "op7_simhash_near_dedup": simhash.op7,
