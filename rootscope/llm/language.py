@@ -7,8 +7,9 @@ are out unless none does. The label sequence that scores best, each change of la
 is the Viterbi path; its runs are the spans of a mixed text, and the language that holds most
 letters is the document's. score is that language's share of the letters.
 
-If one language's total leads and no stretch of words gains SWITCH / 2 under any other, no path with a change
-can score better, so the path is constant and the dynamic programme is skipped: an exact shortcut.
+If one language's total leads, no stretch of words gains SWITCH under any other, nor do the best first and
+last stretches together, then no path with a change can score better: each stretch pays for a change of
+its own, but for one at an end. The path is constant then, an exact shortcut.
 
 Fitting uses a sample of at most about PER_LANGUAGE labelled texts of each language, chosen by a hash of the
 whole row id; everything else covers whole texts of all rows. Null or letterless text: `und`, score 0, no spans.
@@ -108,8 +109,9 @@ class Model:
         """The best label of each word."""
         k = int(s.sum(0, dtype=np.float64).argmax())
         run = np.cumsum(s - s[:, k : k + 1], axis=0, dtype=np.float64)
-        low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), run[:-1]]), axis=0)
-        if (run - low).max() < switch / 2:
+        low = np.minimum(0, np.minimum.accumulate(run, axis=0))
+        ends = run.max() + (run[-1] - low).max()
+        if (run[1:] - low[:-1]).max(initial=run[0].max()) < switch and ends < switch:
             return np.full(len(s), k)
         return viterbi(s, switch)
 
@@ -137,19 +139,19 @@ class Model:
 
 
 def viterbi(s: np.ndarray, switch: float) -> np.ndarray:
-    n, k = s.shape
-    came = np.zeros((n, k), np.int32)
-    best = s[0].astype(np.float64)
-    own = np.arange(k)
-    for i in range(1, n):
-        top = int(best.argmax())
-        moved = best < best[top] - switch
-        came[i] = np.where(moved, top, own)
-        best = np.where(moved, best[top] - switch, best) + s[i]
-    out = np.empty(n, np.int64)
-    out[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = came[i, out[i]]
+    rows = s.tolist()
+    best = rows[0]
+    seen = [best]
+    for row in rows[1:]:
+        low = max(best) - switch
+        best = [(b if b >= low else low) + x for b, x in zip(best, row)]
+        seen.append(best)
+    k = best.index(max(best))
+    out = np.empty(len(rows), np.int64)
+    for i in range(len(rows) - 1, -1, -1):
+        out[i] = k
+        if i and seen[i - 1][k] < max(seen[i - 1]) - switch:
+            k = seen[i - 1].index(max(seen[i - 1]))
     return out
 
 
