@@ -15,9 +15,11 @@ Null text: empty, so only the end id. Repeated rows: each row is packed. Null do
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, stored
 
-CAPACITY, NEAR, FAN, END_ID, CACHED_WORDS = 2048, 2, 64, 0, 1_000_000
+CAPACITY, NEAR, FAN, END_ID, CACHED_WORDS = 2048, 2, 64, 0, 800_000
 _PUNCTUATION = b".,;:!?"
+#: The tokenizer's characters for bytes: printable ones stand for themselves, the others follow from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
 
 
 class WordTokens:
@@ -45,25 +50,42 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # kept from task to task; only a cache, emptied when full
 
     def _plain(self, words: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in coded]
 
+    def _letters(self, word: bytes) -> bytes | None:
+        """By the model alone, of a word that normalising and splitting leave as it is."""
+        text = word.decode("utf-8", "replace")
+        if not text.isalpha() or not (text.isascii() or text == text.lower() == unicodedata.normalize("NFC", text)):
+            return None
+        parts = self.tokenizer.model.tokenize(text if text.isascii() else word.decode("latin-1").translate(_BYTE_LEVEL))
+        return b"".join([t.id.to_bytes(4, "little") for t in parts])
+
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        split = {}
+        known, split, rest = self.known, [], set()
         for w in words:
-            core = w.rstrip(_PUNCTUATION)
-            if core and len(core) < len(w) and core[-8:].decode("utf-8", "ignore")[-1:].isalnum():
-                split[w] = core, w[len(core) :]
-        new = list({x for w in words for x in split.get(w, (w,))} - known.keys())
+            if w[-1] not in _PUNCTUATION:
+                core = w
+            else:
+                core = w.rstrip(_PUNCTUATION)
+                if not core or not core[-8:].decode("utf-8", "ignore")[-1:].isalnum():
+                    rest.add(w)
+                    continue
+                split.append((w, core, w[len(core) :]))
+                if split[-1][2] not in known:
+                    rest.add(split[-1][2])
+            if core not in known:
+                if (ids := self._letters(core)) is None:
+                    rest.add(core)
+                else:
+                    known[core] = ids
+        new = list(rest)
         known.update(zip(new, self._plain(new)))
-        for w, (a, b) in split.items():
-            known[w] = known[a] + known[b]
+        for w, core, mark in split:
+            known[w] = known[core] + known[mark]
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Of each text: its ids as little-endian unsigned 32-bit numbers."""
@@ -81,6 +103,11 @@ class WordTokens:
                 yield self._plain([t])[0] if w else b"".join(map(self.known.__getitem__, own))
 
 
+@cache
+def word_tokens(path: str) -> WordTokens:
+    return WordTokens(path)
+
+
 def best_fit(classes: list[tuple[int, int]], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """Pack items given as (length, how many). Returns groups of alike bins: how many, and their slots.
 
@@ -150,7 +177,7 @@ def merged(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def _local(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, node = WordTokens(path), TaskContext.get().partitionId()
+        tokens, node = word_tokens(path), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4").tobytes()
         docs, piece, start, length, crc = [], [], [], [], []
         for batch in batches:
