@@ -24,14 +24,17 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, stored
 
-CAPACITY, NEAR, FAN, END_ID, CACHED_WORDS = 2048, 2, 64, 0, 800_000
-_PUNCTUATION = b".,;:!?"
+CAPACITY, NEAR, FAN, END_ID, CACHED_WORDS = 2048, 2, 64, 0, 500_000
+#: Fixed value: the tokenizer's split. Words beyond the last Latin letter here are left to the tokenizer itself.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LATIN = "\u024f"
 #: The tokenizer's characters for bytes: printable ones stand for themselves, the others follow from 256 on.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
@@ -40,8 +43,8 @@ _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SE
 class WordTokens:
     """Ids of texts by a tokenizer that drops white space and lower-cases: each word's ids are found once.
 
-    The ids of a text are those of its parts between white space, and those of a part that ends in plain
-    punctuation after a letter or digit are those of the two sides; equal words are looked up.
+    The ids of a text are those of its parts between white space, and those of a part are its pieces' by the
+    tokenizer's split; equal words and pieces are looked up.
     """
 
     def __init__(self, path: str):
@@ -50,42 +53,44 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}  # kept from task to task; only a cache, emptied when full
+        self.known: dict[bytes, bytes] = {}  # a cache in two generations, kept from task to task
+        self.old: dict[bytes, bytes] = {}
 
     def _plain(self, words: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in coded]
 
-    def _letters(self, word: bytes) -> bytes | None:
-        """By the model alone, of a word that normalising and splitting leave as it is."""
-        text = word.decode("utf-8", "replace")
-        if not text.isalpha() or not (text.isascii() or text == text.lower() == unicodedata.normalize("NFC", text)):
-            return None
-        parts = self.tokenizer.model.tokenize(text if text.isascii() else word.decode("latin-1").translate(_BYTE_LEVEL))
-        return b"".join([t.id.to_bytes(4, "little") for t in parts])
+    def _piece(self, piece: str) -> bytes:
+        """By the model alone, of what splitting yields."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(piece)])
 
     def learn(self, words: set[bytes]) -> None:
-        known, split, rest = self.known, [], set()
+        known, old, rest = self.known, self.old, []
         for w in words:
-            if w[-1] not in _PUNCTUATION:
-                core = w
-            else:
-                core = w.rstrip(_PUNCTUATION)
-                if not core or not core[-8:].decode("utf-8", "ignore")[-1:].isalnum():
-                    rest.add(w)
+            if w in known:
+                continue
+            if (ids := old.get(w)) is None:
+                text = w.decode("utf-8", "replace")
+                if text.isascii() and text.isalpha():
+                    ids = self._piece(text)
+                elif not text.isascii() and max(text) > _LATIN:
+                    rest.append(w)
                     continue
-                split.append((w, core, w[len(core) :]))
-                if split[-1][2] not in known:
-                    rest.add(split[-1][2])
-            if core not in known:
-                if (ids := self._letters(core)) is None:
-                    rest.add(core)
                 else:
-                    known[core] = ids
-        new = list(rest)
-        known.update(zip(new, self._plain(new)))
-        for w, core, mark in split:
-            known[w] = known[core] + known[mark]
+                    if not text.isascii():
+                        text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+                    ids = b""
+                    for piece in _SPLIT.findall(text):
+                        key = piece.encode()
+                        part = known.get(key) or old.get(key)
+                        if part is None or key == w:
+                            part = self._piece(piece)
+                            known[key] = part
+                        ids += part
+            known[w] = ids
+        known.update(zip(rest, self._plain(rest)))
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Of each text: its ids as little-endian unsigned 32-bit numbers."""
@@ -95,10 +100,9 @@ class WordTokens:
             # Special tokens' strings are matched before lower-casing, so such a text is coded as it is.
             whole = [any(s in t for s in self.special) for t in low]
             words = [[] if w else t.split() for t, w in zip(low, whole)]
-            missing = set().union(*words)
-            if len(self.known) + len(missing) > CACHED_WORDS:
-                self.known.clear()
-            self.learn(missing - self.known.keys())
+            if len(self.known) > CACHED_WORDS:
+                self.old, self.known = self.known, {}
+            self.learn(set().union(*words))
             for t, w, own in zip(some, whole, words):
                 yield self._plain([t])[0] if w else b"".join(map(self.known.__getitem__, own))
 
