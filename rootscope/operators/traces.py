@@ -27,17 +27,16 @@ def deduplicated(spans: DataFrame, order: list[str] = ("start_ns", "service")) -
 
 def linked(spans: DataFrame) -> DataFrame:
     """With its parent's service, or null for roots; orphan: the parent is named but missing, or itself."""
-    p = spans.select("trace_id", F.col("span_id").alias("__pid"), F.col("service").alias("parent_service"))
-    on = (spans["trace_id"] == p["trace_id"]) & (spans["parent_id"] == p["__pid"]) & (spans["parent_id"] != 0) & (p["__pid"] != spans["span_id"])
-    out = spans.join(p, on, "left").select(*(spans[c] for c in spans.columns), "parent_service")
+    p = spans.select(F.col("trace_id").alias("__pt"), F.col("span_id").alias("__pid"), F.col("service").alias("parent_service"))
+    on = (F.col("trace_id") == F.col("__pt")) & (F.col("parent_id") == F.col("__pid")) & (F.col("parent_id") != 0) & (F.col("__pid") != F.col("span_id"))
+    out = spans.join(p, on, "left").drop("__pt", "__pid")
     return out.withColumn("orphan", (F.col("parent_id") != 0) & F.col("parent_service").isNull())
 
 
 def orphans(spans: DataFrame) -> DataFrame:
-    p = spans.select("trace_id", F.col("span_id").alias("__pid"))
-    named = spans.filter("parent_id <> 0")
-    on = (named["trace_id"] == p["trace_id"]) & (named["parent_id"] == p["__pid"]) & (named["span_id"] != p["__pid"])
-    return named.join(p, on, "left_anti")
+    p = spans.select(F.col("trace_id").alias("__pt"), F.col("span_id").alias("__pid"))
+    on = (F.col("trace_id") == F.col("__pt")) & (F.col("parent_id") == F.col("__pid")) & (F.col("span_id") != F.col("__pid"))
+    return spans.filter("parent_id <> 0").join(p, on, "left_anti")
 
 
 def walk(spans: list[tuple]) -> list[tuple[int, int | None, bool, bool]]:
@@ -179,10 +178,10 @@ def error_origins(spans: DataFrame) -> DataFrame:
     """spans: deduplicated or corrected. Failing spans without a failing child; an unanswered call blames its peer."""
     child = spans.filter("parent_id <> 0 and parent_id <> span_id")
     failing = child.filter("status = 'error'").select("trace_id", F.col("parent_id").alias("span_id"))
-    other = child.select("trace_id", F.col("parent_id").alias("__p"), F.col("service").alias("__s"))
+    other = child.select(F.col("trace_id").alias("__t"), F.col("parent_id").alias("__p"), F.col("service").alias("__s"))
     out = spans.filter("status = 'error'").join(failing, ["trace_id", "span_id"], "left_anti")
     answered = out.join(
-        other, (out["trace_id"] == other["trace_id"]) & (out["span_id"] == other["__p"]) & (out["service"] != other["__s"]), "left_semi"
+        other, (F.col("trace_id") == F.col("__t")) & (F.col("span_id") == F.col("__p")) & (F.col("service") != F.col("__s")), "left_semi"
     ).select("trace_id", "span_id", F.lit(True).alias("__answered"))
     out = out.join(answered, ["trace_id", "span_id"], "left")
     blame = is_outbound(F.col("kind")) & (F.col("peer") != "") & F.col("__answered").isNull()
