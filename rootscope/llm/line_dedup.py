@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Units, finished, marks_of, n_buckets, packed, rewritten, shared_keys
+from .shared import Units, finished, marks_of, n_buckets, packed, rewritten, shared_keys, wanted_keys
 
 MEAN_LINES, MIN_LINES = 3, 2
 
@@ -67,7 +67,7 @@ def repeated_chunks(docs: DataFrame, mean: int = MEAN_LINES, least: int = MIN_LI
     """doc_id, th (a hash of the text) and spans of lines to be removed."""
     plan, buckets = LinesPlan(mean, least), n_buckets(docs.sparkSession)
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    return marks_of(packed(docs), shared_keys(docs, plan, buckets, "text"), plan, buckets)
+    return marks_of(packed(docs), wanted_keys(shared_keys(docs, plan, buckets, "text")), plan, buckets)
 
 
 def kept_lines(raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:

@@ -131,8 +131,9 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[f[0] for f in fields])
 
 
-def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, text: str = "text", th=None) -> DataFrame:
     """doc_id, a hash of the text, and the text's bytes compressed (null if it is null)."""
+    th = F.xxhash64(text) if th is None else th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -142,7 +143,8 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
                 names=["doc_id", "th", "z"],
             )
 
-    return docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("z")).mapInArrow(run, "doc_id long, th long, z binary")
+    kind = docs.select(th.alias("th")).dtypes[0][1]
+    return docs.select("doc_id", th.alias("th"), F.col(text).cast("binary").alias("z")).mapInArrow(run, f"doc_id long, th {kind}, z binary")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, *columns: str) -> Iterator[tuple[list[bytes], list]]:
@@ -313,7 +315,7 @@ class Holders:
                 self.mark(d, t, [s], self.plan.length(content))
 
     def rows(self) -> list[tuple]:
-        out = [(MARK, 0, d, t, np.array(joined(s), "<i4").tobytes(), None) for (d, t), s in self.marks.items()]
+        out = [(MARK, hash((d, t)), d, t, np.array(joined(s), "<i4").tobytes(), None) for (d, t), s in self.marks.items()]
         self.marks = {}
         return out
 
@@ -424,9 +426,13 @@ def _contents(plan):
             contents: dict = {}
             windows: dict = {}
             cut = False
-            for kind, _, doc, th, at, content in rows:
+            for row in rows:
+                kind, _, doc, th, at, content = row
                 if kind == CUT:
                     cut = True
+                if kind != UNIT:
+                    if kind != CUT:
+                        out.append(row)
                     continue
                 holders.put(contents, content, doc, th, _at(at))
                 if plan.cuts and (cut or len(contents) > MANY):
@@ -467,19 +473,25 @@ def _windows(plan):
     return run
 
 
-def marks_of(docs: DataFrame, lists: DataFrame, plan, buckets: int) -> DataFrame:
-    """docs: packed. lists: LOCAL rows. Returns doc_id, th and spans, a list of packed (start, end) pairs."""
-    n = shuffle_partitions(docs.sparkSession)
-    wanted = lists.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))  # of one document's own keys
-    units = stored(docs.filter("z is not null").join(wanted, "doc_id").select("doc_id", "th", "z", "keys").mapInArrow(_units(plan, buckets), UNIT_SCHEMA), "units")
+def wanted_keys(lists: DataFrame) -> DataFrame:
+    return lists.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))  # of one document's own keys
+
+
+def marks_of(docs: DataFrame, wanted: DataFrame, plan, buckets: int, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs: packed. wanted: keys by document. Returns doc_id, th and spans, a list of packed (start, end) pairs."""
+    return marks_from(docs.filter("z is not null").join(wanted, list(on)).select("doc_id", "th", "z", "keys"), plan, buckets)
+
+
+def marks_from(rows: DataFrame, plan, buckets: int) -> DataFrame:
+    """As marks_of, from rows that have their keys."""
+    n = shuffle_partitions(rows.sparkSession)
+    units = rows.mapInArrow(_units(plan, buckets), UNIT_SCHEMA)
     spread = lambda df: df.repartition(n, "key").sortWithinPartitions("key", "kind")
-    first = spread(units.filter(F.col("kind").isin(CUT, UNIT))).mapInArrow(_contents(plan), UNIT_SCHEMA)
-    marks = units
+    # Marks and windows pass through, so that the units are made once.
+    first = stored(spread(units).mapInArrow(_contents(plan), UNIT_SCHEMA), "contents")
+    marks = first.filter(F.col("kind") == MARK)
     if plan.cuts:
-        first = stored(first, "contents")
-        ones = units.filter(F.col("kind") == ONE).union(first.filter(F.col("kind") == ONE))
-        marks = marks.union(spread(ones).mapInArrow(_windows(plan), UNIT_SCHEMA))
-    marks = marks.union(first).filter(F.col("kind") == MARK)
+        marks = marks.union(spread(first.filter(F.col("kind") == ONE)).mapInArrow(_windows(plan), UNIT_SCHEMA))
     return marks.groupBy("doc_id", "th").agg(F.collect_list("at").alias("spans"))
 
 
@@ -490,18 +502,22 @@ def spans_of(lists: list[bytes] | None) -> list[tuple[int, int]]:
 
 def finished(docs: DataFrame, marks: DataFrame, figures, schema: str, text: str = "text") -> DataFrame:
     """doc_id and figures(text's bytes, spans) of each row of docs."""
+    return with_figures(packed(docs, text).join(marks, ["doc_id", "th"], "left"), figures, schema)
+
+
+def with_figures(rows: DataFrame, figures, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and figures(text's bytes, spans, more columns' values) of rows with z and spans."""
     fields = [x.split() for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            rows = [figures(b"" if z is None else unpack(z), spans_of(s)) for z, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            rows = [figures(b"" if z is None else unpack(z), spans_of(s), *x) for z, s, *x in zip(*(c.to_pylist() for c in b.columns[1:]))]
             own = [pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows) if rows else [[]] * len(fields), fields)]
             yield pa.RecordBatch.from_arrays([b.column(0), *own], names=["doc_id", *(f[0] for f in fields)])
 
-    joined_ = packed(docs, text).join(marks, ["doc_id", "th"], "left").select("doc_id", "z", "spans")
-    return joined_.mapInArrow(run, f"doc_id long, {schema}")
+    return rows.select("doc_id", "z", "spans", *more).mapInArrow(run, f"doc_id long, {schema}")
 
 
 def rewritten(docs: DataFrame, marks: DataFrame, change, text: str = "text") -> DataFrame:

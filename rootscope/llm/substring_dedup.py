@@ -25,26 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored
+from .hashing import _BYTE, powers
 from .shared import (
     KEY_SCHEMA, LOCAL, RUN, Units, _batch, decode, encode, finished, joined, least_runs, marks_of, mixed, n_buckets, packed, shared_keys,
+    wanted_keys,
 )
 from .suffix_dedup import without
 
 WINDOW, GRAM, FAN_IN, BATCHES = 50, 20, 4, 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0xD6E8FEB86659FD93
-
-
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse, modulo 2 ** 64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
 
 
 class WordsPlan:
@@ -122,7 +112,7 @@ class FingerprintIndex:
         earlier = reduce(DataFrame.union, self.runs) if self.runs else None
         rows = stored(shared_keys(new, self.plan, self.buckets, "z", earlier, keep_run=True), "fingerprints")
         lists = rows.filter(F.col("kind") == LOCAL)
-        marks = marks_of(reduce(DataFrame.union, [*self.texts, new]), lists, self.plan, self.buckets)
+        marks = marks_of(reduce(DataFrame.union, [*self.texts, new]), wanted_keys(lists), self.plan, self.buckets)
         if self.last is not None:
             marks = marks.filter(F.col("doc_id") > self.last)
         self.runs.append(rows.filter(F.col("kind") == RUN))

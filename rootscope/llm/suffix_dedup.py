@@ -6,14 +6,16 @@ many groups in one block:
 
 * the block's suffix array gives its Burrows-Wheeler transform, kept as runs, with the suffix array's
   samples at the runs' two ends only;
-* matching statistics are streamed for all windows of the block at once: each is matched right to left by
+* matching statistics are streamed for the block's candidate strings at once: each is matched right to left by
   backward search on the runs, with one known occurrence carried along by the samples, until it is
   matched in full or only its own occurrence is left;
-* windows matched in full list their occurrences from the samples, and are marked if one is in a content
-  of an earlier document.
+* strings matched in full list their occurrences from the samples, and their windows are marked if one is in a
+  content of an earlier document; strings that no earlier document has in full are halved, down to one window.
 
-Null text: empty. Null doc_id: nothing removed, and it removes nothing. Rows of one doc_id are one document's: no
-row removes what another has. Figures are of each row's own text.
+Of documents with equal texts (MD5), the first stands for all; the others lose every window.
+
+Null text: empty. Null doc_id: nothing removed, and it removes nothing. Rows of one doc_id are one document's: no row
+removes what another has.
 """
 
 from __future__ import annotations
@@ -22,30 +24,33 @@ import hashlib
 
 import numpy as np
 
-from .shared import Units, finished, joined, least_runs, marks_of, mixed, n_buckets, shared_keys, packed
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, GRAM = 50, 20
+from .common import stored
+from .hashing import _BYTE, powers
+from .shared import Units, joined, least_runs, marks_from, mixed, n_buckets, packed, shared_keys, wanted_keys, with_figures
+
+WINDOW, GRAM = 50, 16
 
 
 class RunIndex:
     """Run-compressed transform of some contents, with samples at run ends."""
 
     def __init__(self, contents: list[bytes]):
-        k = len(contents)
         sizes = np.array([len(c) + 1 for c in contents], np.int64)
         self.off = np.cumsum(sizes) - sizes
-        self.n = n = int(sizes.sum())
-        self.text = np.frombuffer(b"".join(c + b"\0" for c in contents), np.uint8)
-        symbol = self.text.astype(np.int64) + k
-        symbol[self.off + sizes - 1] = np.arange(k)  # each content's end is a symbol of its own
+        self.n = n = int(sizes.sum()) + 1
+        self.text = np.frombuffer(b"\0".join(contents) + b"\0\0", np.uint8)
+        symbol = self.text.astype(np.int64) + 2
+        symbol[self.off + sizes - 1] = 1  # between contents, and a last one of its own; no pattern has them
+        symbol[-1] = 0
         sa = suffix_array(symbol)
         bwt = symbol[sa - 1]
         new = np.ones(n, bool)
         new[1:] = bwt[1:] != bwt[:-1]
         self.start = np.flatnonzero(new)
-        self.head = bwt[self.start] - k  # below 0: an end
+        self.head = bwt[self.start] - 2  # below 0: an end
         ends = np.append(self.start[1:], n) - 1
         self.at_start, self.at_end = sa[self.start], sa[ends]
         # Runs by head, then place; occurrences of the head in earlier runs of it.
@@ -56,8 +61,8 @@ class RunIndex:
         self.keys = self.head[self.order] * self.stride + self.order
         self.before = np.append(0, np.cumsum(size))
         self.first = np.searchsorted(self.keys, np.arange(257) * self.stride)  # of each byte, in that order
-        count = np.bincount(symbol[symbol >= k] - k, minlength=256)
-        self.c = k + np.append(0, np.cumsum(count))[:256]
+        count = np.bincount(symbol, minlength=258)
+        self.c = np.cumsum(count)[1:257]
         # What stands before a suffix in the order: from the samples of run starts.
         by = np.argsort(self.at_start)
         self.known = self.at_start[by]
@@ -72,23 +77,32 @@ class RunIndex:
         inside = np.where(self.head[run] == c, np.where(at_end, self.n, i) - self.start[run], 0)
         return out + inside
 
-    def windows(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the text's windows at starts: which occur again, how often, and an occurrence of each."""
+    def matches(self, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the strings of the text at starts: which occur again, how often, and an occurrence of each.
+
+        All advance together, each from its own right end, and leave when only the string itself matches.
+        """
         live = np.arange(len(starts))
         lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
         one = np.full(len(starts), self.at_end[-1], np.int64)
-        for j in range(length - 1, -1, -1):
-            c = self.text[starts[live] + j].astype(np.int64)
+        done = []
+        step = 0
+        while len(live):
+            c = self.text[starts[live] + lengths[live] - 1 - step].astype(np.int64)
             run = np.searchsorted(self.start, hi - 1, "right") - 1
-            ends_in = self.head[run] == c
             last = np.searchsorted(self.keys, c * self.stride + run) - 1
-            one = np.where(ends_in, one, self.at_end[self.order[last]]) - 1
+            one = np.where(self.head[run] == c, one, self.at_end[self.order[last]]) - 1
             lo, hi = self.c[c] + self.rank(c, lo), self.c[c] + self.rank(c, hi)
-            again = hi - lo > 1
-            live, lo, hi, one = live[again], lo[again], hi[again], one[again]
-            if not len(live):
-                break
-        return live, hi - lo, one
+            step += 1
+            full = (lengths[live] == step) & (hi - lo > 1)
+            if full.any():
+                done.append((live[full], (hi - lo)[full], one[full]))
+            on = (hi - lo > 1) & ~full
+            live, lo, hi, one = live[on], lo[on], hi[on], one[on]
+        if not done:
+            z = np.zeros(0, np.int64)
+            return z, z, z
+        return tuple(np.concatenate(x) for x in zip(*done))
 
     def before_in_order(self, at: np.ndarray) -> np.ndarray:
         k = np.searchsorted(self.known, at, "right") - 1
@@ -96,18 +110,21 @@ class RunIndex:
 
 
 def suffix_array(symbol: np.ndarray) -> np.ndarray:
-    rank = symbol.astype(np.int64)
-    n, span = len(rank), 1
+    """Of symbols from 0 to 256 whose last one is unlike all others: prefix doubling from seven symbols on."""
+    n, span = len(symbol), 7
+    rank = np.zeros(n, np.int64)
+    for i in range(span):
+        rank[: n - i] |= (symbol[i:] + 1) << (9 * (span - 1 - i)) if i < n else 0
     while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - span)] = rank[span:] + 1
-        key = rank * (int(rank.max()) + 2) + second
-        order = np.argsort(key)
-        sorted_key = key[order]
+        order = np.argsort(rank)
+        key = rank[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.append(0, np.cumsum(sorted_key[1:] != sorted_key[:-1]))
+        rank[order] = np.append(0, np.cumsum(key[1:] != key[:-1]))
         if int(rank[order[-1]]) == n - 1:
             return order
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - span)] = rank[span:] + 1
+        rank = rank * (n + 1) + second
         span *= 2
 
 
@@ -147,39 +164,97 @@ class BytesPlan:
         return ((i, content[i : i + self.window]) for i in range(len(content) - self.window + 1))
 
     def resolve(self, groups):
-        """Spans of windows that an earlier document's content of the group has too, for each content."""
+        """Spans of windows that an earlier document's content of the block has too, for each content.
+
+        Hashes tell which windows may: runs of them are matched as whole strings first, and halved where
+        no earlier document has all of one.
+        """
         flat = [x for g in groups for x in g]
-        if not flat:
-            return []
         w = self.window
+        hit = self.candidates(flat)
+        spans: list[list[tuple[int, int]]] = [[] for _ in flat]
+        if hit.any():
+            self.search(flat, hit, spans)
+        out = iter(joined(s) for s in spans)
+        return [[next(out) for _ in g] for g in groups] if w else []
+
+    def candidates(self, flat) -> np.ndarray:
+        """Of all windows, content by content, those whose hash a content of an earlier document has."""
+        w = self.window
+        data = b"".join(c for c, _ in flat)
+        size = np.array([len(c) for c, _ in flat], np.int64)
+        many = size - w + 1
+        of = np.repeat(np.arange(len(flat)), many)
+        at = np.repeat(np.cumsum(size) - size, many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        b = np.frombuffer(data, np.uint8)
+        up, down = powers(len(b))
+        total = np.append(np.uint64(0), np.cumsum(_BYTE[b] * up))
+        h = (total[at + w] - total[at]) * down[at]
+        doc = np.array([d for _, d in flat], np.int64)[of]
+        order = np.lexsort((doc, h))
+        new = np.ones(len(h), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        hit = np.zeros(len(h), bool)
+        hit[order] = least < doc[order]
+        return hit
+
+    def search(self, flat, hit: np.ndarray, spans: list[list[tuple[int, int]]]) -> None:
+        w = self.window
+        many = np.array([len(c) - w + 1 for c, _ in flat], np.int64)
+        base = np.cumsum(many) - many
         index = RunIndex([c for c, _ in flat])
         doc = np.array([d for _, d in flat], np.int64)
-        many = np.array([len(c) - w + 1 for c, _ in flat], np.int64)
-        of = np.repeat(np.arange(len(flat)), many)
-        starts = index.off[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        live, left, at = index.windows(starts, w)
-        least = np.full(len(live), np.iinfo(np.int64).max)
-        todo = np.arange(len(live))
-        while len(todo):
-            owner = np.searchsorted(index.off, at[todo], "right") - 1
-            least[todo] = np.minimum(least[todo], doc[owner])
-            left[todo] -= 1
-            todo = todo[left[todo] > 0]
-            at[todo] = index.before_in_order(at[todo])
-        hit = live[least < doc[of[live]]]
-        spans = [[] for _ in flat]
-        for i, s in zip(of[hit].tolist(), (starts[hit] - index.off[of[hit]]).tolist()):
-            spans[i].append((s, s + w))
-        spans = iter(joined(s) for s in spans)
-        return [[next(spans) for _ in g] for g in groups]
+        edge = hit.copy()
+        edge[1:] &= ~hit[:-1]
+        edge[base[hit[base]]] = True
+        first = np.flatnonzero(edge)
+        stop = hit.copy()
+        stop[:-1] &= ~hit[1:] | np.isin(np.arange(1, len(hit)), base)
+        last = np.flatnonzero(stop)
+        of = np.searchsorted(base, first, "right") - 1
+        a, n = first - base[of], last - first + 1  # first window and how many
+        while len(of):
+            starts = index.off[of] + a
+            live, left, at = index.matches(starts, n + w - 1)
+            least = np.full(len(of), np.iinfo(np.int64).max)
+            todo = np.arange(len(live))
+            while len(todo):
+                owner = np.searchsorted(index.off, at[todo], "right") - 1
+                least[live[todo]] = np.minimum(least[live[todo]], doc[owner])
+                left[todo] -= 1
+                todo = todo[left[todo] > 0]
+                at[todo] = index.before_in_order(at[todo])
+            ok = least < doc[of]
+            for i, s, m in zip(of[ok].tolist(), a[ok].tolist(), n[ok].tolist()):
+                spans[i].append((s, s + m + w - 1))
+            more = ~ok & (n > 1)
+            of, a, n = of[more], a[more], n[more]
+            half = n // 2
+            of, a, n = np.concatenate([of, of]), np.concatenate([a, a + half]), np.concatenate([half, n - half])
+
+
+def text_hash(text: str):
+    return F.md5(F.col(text).cast("binary"))
 
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> DataFrame:
-    """doc_id, th (a hash of the text) and spans of what is to be removed, for documents with such."""
+    """th (the text's MD5), first (the least doc_id with this text) and spans of what that document loses.
+
+    Of equal texts only the first takes part: the others' windows all start in it.
+    """
     plan, buckets = BytesPlan(window, gram), n_buckets(docs.sparkSession)
-    docs = docs.select("doc_id", F.col(text).alias("text"))
-    lists = shared_keys(docs, plan, buckets, "text")
-    return marks_of(packed(docs), lists, plan, buckets)
+    docs = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"))
+    th = text_hash("text")
+    short = F.conv(F.substring("th", 1, 10), 16, 10).cast("long")  # tells texts apart when keys are counted; equal ones cost only work
+    firsts = stored(docs.groupBy(th.alias("th")).agg(F.min("doc_id").alias("first")), "texts")
+    texts = docs.withColumn("th", th).select(short.alias("doc_id"), "text")
+    lists = wanted_keys(shared_keys(texts, plan, buckets, "text")).withColumnRenamed("doc_id", "short")
+    wanted = firsts.withColumn("short", short).join(lists, "short").select(F.col("first").alias("doc_id"), "th", "keys")
+    long_ = F.conv(F.substring("th", 1, 15), 16, 10).cast("long")
+    whole = packed(docs, th=th).join(wanted, ["doc_id", "th"]).select("doc_id", long_.alias("th"), "z", "keys")
+    marks = marks_from(whole, plan, buckets).withColumnsRenamed({"doc_id": "first", "th": "long"})
+    return firsts.withColumn("long", long_).join(marks, ["first", "long"], "left").select("th", "first", "spans")
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -190,7 +265,9 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def figures(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
+def figures(raw: bytes, spans: list[tuple[int, int]], later: bool = False, window: int = WINDOW) -> tuple:
+    """later: an earlier document has the whole text."""
+    spans = ([(0, len(raw))] if len(raw) >= window else []) if later else spans
     kept = without(raw, spans)
     return len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
@@ -199,4 +276,6 @@ def op4(spark, sf_dir):
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return finished(docs, repeated_bytes(docs), figures, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = stored(repeated_bytes(docs), "marks")
+    rows = packed(docs, th=text_hash("text")).join(found, "th", "left")
+    return with_figures(rows.withColumn("later", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), figures, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ("later",))
