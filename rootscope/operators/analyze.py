@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ScoreConfig, WalkConfig
+from ..functions.signals import category
 from . import graph as g
 from . import ranking as r
 from . import scores as s
@@ -30,8 +31,10 @@ def service_features(series: DataFrame, graph: DataFrame | None, cfg: ScoreConfi
     """series: incident, service, name, t_s, value. Returns features and the series' scores, for many incidents at once."""
     k = ["incident", "service", "name"]
     classed = s.classified(series)
-    found = s.scores(classed, scaling, cfg, k).join(classed.select(*k, "category").distinct(), k)
-    e = r.evidence(found, s.went_silent(series, k), graph, threshold=cfg.threshold)
+    named = F.col("name")
+    # One row per series and per service: small beside the series, and read many times below.
+    found = s.scores(classed, scaling, cfg, k).withColumn("category", category(named)).persist()
+    e = r.evidence(found, s.went_silent(series, k), graph, threshold=cfg.threshold).persist()
     walks = None
     if graph is not None and walk is not None:
         top = F.max("max_score").over(_by_incident())

@@ -213,12 +213,12 @@ def scores_sql(scaling: str) -> str:
         sc AS (SELECT ag.*, CAST(onset_s AS DOUBLE) AS onset_s FROM ag LEFT JOIN oy USING (service, name))"""
 
 
-_SCORE = f"SELECT service, name, {r('mx')} AS max, {r('sustained')} AS sustained, {r('shift')} AS shift, onset_s, {r('reference_median')} AS reference_median, round(scale, 5) AS scale, {r('peak_value')} AS peak_value, CAST(peak_offset_s AS DOUBLE) AS peak_offset_s FROM sc"
+_SCORE = f"SELECT service, name, {r('mx')} AS max, {r('sustained')} AS sustained, {r('shift')} AS shift, onset_s, {r('reference_median')} AS reference_median, round(scale, 4) AS scale, {r('peak_value')} AS peak_value, CAST(peak_offset_s AS DOUBLE) AS peak_offset_s FROM sc"
 
 
 def _scored(series, scaling):
     out = os_.scores(os_.classified(series), scaling)
-    return out.withColumns({"onset_s": F.col("onset_s").cast("double"), "scale": F.round("scale", 5)})
+    return out.withColumns({"onset_s": F.col("onset_s").cast("double"), "scale": F.round("scale", 4)})
 
 
 for _name, _scaling in (("series_scores_robust", "robust"), ("series_scores_baro", "iqr"), ("series_scores_nsigma", "nsigma")):
