@@ -8,7 +8,7 @@ article's own bounds count as outside.
 
 Elements that are never content wherever they stand (scripts, styles, forms, menus, headers and footers
 of a page, asides, and blocks whose class, id or role says advert, notice, comments, sidebar, ...) are taken
-out before the scan; their words score nothing and each costs as a tag of which nothing is known.
+out before the scan; their words score nothing and each costs as a tag that only articles hold.
 
 Null page: empty. Broken markup: unclosed elements end with their parent, stray end tags are only tags.
 Pages are independent, so repeated rows give repeated results.
@@ -217,7 +217,7 @@ def fit(pages: DataFrame, row_id: str, page: str = "html", most: int = FIT_PAGES
     for r in rows:
         outside = (r.outside + 0.5) / (r.inside + r.outside + 1)
         weights[r.tag] = -TAG * (1 + SPREAD * outside**4 * np.log2(1 + r.outside))
-    return {k: float(v) for k, v in weights.items()} | {"-": -NOTHING_KNOWN}
+    return {k: float(v) for k, v in weights.items()} | {"-": -TAG}
 
 
 def _extracted(weights: dict[str, float]):
