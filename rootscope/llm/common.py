@@ -52,7 +52,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The table takes the place of the shuffles that made it: their files go when it is written.
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
     fs, p = _path(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,6 +20,7 @@ All comparisons are of bytes; hashes only bring candidates together.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored
 
 #: Units of a task's keys that are compared at once; bytes and units of its contents; contents of one key; bytes for a resolver.
-KEYS_AT_ONCE, UNITS_AT_ONCE, MANY, RESOLVE_BYTES, CHUNK = 1 << 20, 150_000, 64, 1 << 18, 1 << 20
+KEYS_AT_ONCE, UNITS_AT_ONCE, MANY, RESOLVE_BYTES, CHUNK = 1 << 20, 150_000, 512, 1 << 19, 1 << 20
 PARTS_PER_TASK = 8
 KEYS, LOCAL, RUN = 0, 1, 2
 MARK, CUT, UNIT, ONE = 0, 1, 2, 3
@@ -203,12 +204,30 @@ def _keys(plan, buckets: int, column: str):
 
 
 def by_document(doc: np.ndarray, key: np.ndarray, buckets: int) -> list[tuple]:
+    """Documents with keys, packed by bucket of documents."""
     if not len(doc):
         return []
-    order = np.argsort(doc, kind="stable")
+    home = ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((key, doc, home))
+    home, doc, key = home[order], doc[order], key[order].astype("<u8")
+    cut = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(doc)]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [(LOCAL, int(home[i]), None, pack(doc[i:j].astype("<i8").tobytes() + key[i:j].tobytes())) for i, j in zip(cut, cut[1:])]
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for b in batches:
+        for x in map(unpack, b.column(0).to_pylist()):
+            docs.append(np.frombuffer(x[: len(x) // 2], "<i8"))
+            keys.append(np.frombuffer(x[len(x) // 2 :], "<u8"))
+    doc, key = np.concatenate(docs), np.concatenate(keys)
+    order = np.lexsort((key, doc))
     doc, key = doc[order], key[order].astype("<u8")
-    cut = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
-    return [(LOCAL, int(doc[i]) * 0x9E3779B1 % buckets, int(doc[i]), np.unique(key[i:j]).tobytes()) for i, j in zip(cut, cut[1:])]
+    cut = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)] if len(doc) else [0]
+    held = [[key[i:j].tobytes()] for i, j in zip(cut, cut[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]]), pa.array(held, pa.list_(pa.binary()))], names=["doc_id", "keys"])
 
 
 def _met(buckets: int, keep_run: bool):
@@ -356,7 +375,23 @@ def _ones(windows: dict) -> list[tuple]:
     return [_sent(ONE, _signed(xxhash.xxh64_intdigest(c)), c, d, t, s) for c, d, t, s in _starts(windows)]
 
 
+def _uncollected(run):
+    """run without cycle collection: it makes many small objects and no cycles."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return inner
+
+
 def _units(plan, buckets: int):
+    @_uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holders = Holders(plan)
         held: dict[int, dict] = {}
@@ -407,6 +442,7 @@ def _at(b: bytes) -> list[int]:
 
 
 def _contents(plan):
+    @_uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holders, out = Holders(plan), []
         waiting: list[list] = []
@@ -460,6 +496,7 @@ def _contents(plan):
 
 
 def _windows(plan):
+    @_uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holders = Holders(plan)
         for _, rows in _groups(batches):
@@ -474,7 +511,10 @@ def _windows(plan):
 
 
 def wanted_keys(lists: DataFrame) -> DataFrame:
-    return lists.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))  # of one document's own keys
+    """lists: LOCAL rows. Each document once, with its keys."""
+    n = shuffle_partitions(lists.sparkSession)
+    packed_ = lists.filter(F.col("kind") == LOCAL).repartition(n, "bucket").select("keys")
+    return packed_.mapInArrow(_lists, "doc_id long, keys array<binary>")
 
 
 def marks_of(docs: DataFrame, wanted: DataFrame, plan, buckets: int, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:

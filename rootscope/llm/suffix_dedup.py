@@ -31,7 +31,8 @@ from .common import stored
 from .hashing import _BYTE, powers
 from .shared import Units, joined, least_runs, marks_from, mixed, n_buckets, packed, shared_keys, wanted_keys, with_figures
 
-WINDOW, GRAM = 50, 16
+#: Bytes of a window and of the grams that choose units; windows that are matched as one string.
+WINDOW, GRAM, TOGETHER = 50, 24, 64
 
 
 class RunIndex:
@@ -166,20 +167,22 @@ class BytesPlan:
     def resolve(self, groups):
         """Spans of windows that an earlier document's content of the block has too, for each content.
 
-        Hashes tell which windows may: runs of them are matched as whole strings first, and halved where
+        Hashes tell which windows may: runs of them, TOGETHER at most, are matched as whole strings first, and halved where
         no earlier document has all of one.
         """
         flat = [x for g in groups for x in g]
-        w = self.window
-        hit = self.candidates(flat)
         spans: list[list[tuple[int, int]]] = [[] for _ in flat]
-        if hit.any():
-            self.search(flat, hit, spans)
-        out = iter(joined(s) for s in spans)
-        return [[next(out) for _ in g] for g in groups] if w else []
-
-    def candidates(self, flat) -> np.ndarray:
-        """Of all windows, content by content, those whose hash a content of an earlier document has."""
+        if flat:
+            hit, part = self.candidates(flat)
+            chosen = np.flatnonzero(part)  # contents that have such windows or an earlier document's side of them
+            if len(chosen):
+                many = np.array([len(c) - self.window + 1 for c, _ in flat], np.int64)
+                self.search([flat[i] for i in chosen], hit[np.repeat(part, many)], [spans[i] for i in chosen])
+        out = iter(joined(s) if len(s) > 1 else s for s in spans)
+        return [[next(out) for _ in g] for g in groups]
+
+    def candidates(self, flat) -> tuple[np.ndarray, np.ndarray]:
+        """Of all windows, content by content, those whose hash a content of an earlier document has; which contents take part."""
         w = self.window
         data = b"".join(c for c, _ in flat)
         size = np.array([len(c) for c, _ in flat], np.int64)
@@ -194,10 +197,13 @@ class BytesPlan:
         order = np.lexsort((doc, h))
         new = np.ones(len(h), bool)
         new[1:] = h[order][1:] != h[order][:-1]
-        least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        group = np.cumsum(new) - 1
+        later = doc[order][np.flatnonzero(new)][group] < doc[order]
         hit = np.zeros(len(h), bool)
-        hit[order] = least < doc[order]
-        return hit
+        hit[order] = later
+        part = np.zeros(len(flat), bool)
+        part[of[order[(np.bincount(group, later) > 0)[group]]]] = True
+        return hit, part
 
     def search(self, flat, hit: np.ndarray, spans: list[list[tuple[int, int]]]) -> None:
         w = self.window
@@ -214,6 +220,9 @@ class BytesPlan:
         last = np.flatnonzero(stop)
         of = np.searchsorted(base, first, "right") - 1
         a, n = first - base[of], last - first + 1  # first window and how many
+        k = -(-n // TOGETHER)
+        j = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        of, a, n = np.repeat(of, k), np.repeat(a, k) + j * TOGETHER, np.minimum(TOGETHER, np.repeat(n, k) - j * TOGETHER)
         while len(of):
             starts = index.off[of] + a
             live, left, at = index.matches(starts, n + w - 1)
@@ -223,7 +232,7 @@ class BytesPlan:
                 owner = np.searchsorted(index.off, at[todo], "right") - 1
                 least[live[todo]] = np.minimum(least[live[todo]], doc[owner])
                 left[todo] -= 1
-                todo = todo[left[todo] > 0]
+                todo = todo[(left[todo] > 0) & (least[live[todo]] >= doc[of[live[todo]]])]
                 at[todo] = index.before_in_order(at[todo])
             ok = least < doc[of]
             for i, s, m in zip(of[ok].tolist(), a[ok].tolist(), n[ok].tolist()):
@@ -249,7 +258,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     short = F.conv(F.substring("th", 1, 10), 16, 10).cast("long")  # tells texts apart when keys are counted; equal ones cost only work
     firsts = stored(docs.groupBy(th.alias("th")).agg(F.min("doc_id").alias("first")), "texts")
     texts = docs.withColumn("th", th).select(short.alias("doc_id"), "text")
-    lists = wanted_keys(shared_keys(texts, plan, buckets, "text")).withColumnRenamed("doc_id", "short")
+    lists = stored(wanted_keys(shared_keys(texts, plan, buckets, "text")), "keys").withColumnRenamed("doc_id", "short")
     wanted = firsts.withColumn("short", short).join(lists, "short").select(F.col("first").alias("doc_id"), "th", "keys")
     long_ = F.conv(F.substring("th", 1, 15), 16, 10).cast("long")
     whole = packed(docs, th=th).join(wanted, ["doc_id", "th"]).select("doc_id", long_.alias("th"), "z", "keys")
@@ -272,10 +281,16 @@ def figures(raw: bytes, spans: list[tuple[int, int]], later: bool = False, windo
     return len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
 
 
+def result(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """docs: doc_id and text; found: repeated_bytes(). doc_id and figures of each row."""
+    rows = packed(docs, text, text_hash(text)).join(stored(found, "marks"), "th", "left")
+    rows = rows.withColumn("later", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    rows = rows.withColumn("spans", F.when(F.col("doc_id").isNotNull(), F.col("spans")))
+    return with_figures(rows, figures, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ("later",))
+
+
 def op4(spark, sf_dir):
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = stored(repeated_bytes(docs), "marks")
-    rows = packed(docs, th=text_hash("text")).join(found, "th", "left")
-    return with_figures(rows.withColumn("later", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), figures, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ("later",))
+    return result(docs, repeated_bytes(docs))
