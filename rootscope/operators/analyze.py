@@ -30,7 +30,10 @@ def checked(series: DataFrame) -> None:
 def service_features(series: DataFrame, graph: DataFrame | None, cfg: ScoreConfig = ScoreConfig(), walk: WalkConfig | None = WalkConfig(), scaling: str = "robust") -> tuple[DataFrame, DataFrame]:
     """series: incident, service, name, t_s, value. Returns features and the series' scores, for many incidents at once."""
     k = ["incident", "service", "name"]
-    classed = s.classified(series)
+    # The windows around incidents, and the graph of services: each is read many times below.
+    classed = s.classified(series).persist()
+    series = classed
+    graph = graph if graph is None else g.edges(graph).persist()
     named = F.col("name")
     # One row per series and per service: small beside the series, and read many times below.
     found = s.scores(classed, scaling, cfg, k).withColumn("category", category(named)).persist()
