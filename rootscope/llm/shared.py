@@ -15,7 +15,8 @@ window's key, and a unit is a run of windows with one key). The search has four
    that some task has cut, go on as single windows.
 4. Windows. Equal windows keep their first holder, the others' are marked.
 
-All comparisons are of bytes; hashes only bring candidates together.
+All comparisons are of bytes; hashes only bring candidates together. Documents are joined by sort and merge at
+any size, so that a small input takes the same way as a large one.
 """
 
 from __future__ import annotations
@@ -519,7 +520,7 @@ def wanted_keys(lists: DataFrame) -> DataFrame:
 
 def marks_of(docs: DataFrame, wanted: DataFrame, plan, buckets: int, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs: packed. wanted: keys by document. Returns doc_id, th and spans, a list of packed (start, end) pairs."""
-    return marks_from(docs.filter("z is not null").join(wanted, list(on)).select("doc_id", "th", "z", "keys"), plan, buckets)
+    return marks_from(docs.filter("z is not null").join(wanted.hint("merge"), list(on)).select("doc_id", "th", "z", "keys"), plan, buckets)
 
 
 def marks_from(rows: DataFrame, plan, buckets: int) -> DataFrame:
@@ -542,7 +543,7 @@ def spans_of(lists: list[bytes] | None) -> list[tuple[int, int]]:
 
 def finished(docs: DataFrame, marks: DataFrame, figures, schema: str, text: str = "text") -> DataFrame:
     """doc_id and figures(text's bytes, spans) of each row of docs."""
-    return with_figures(packed(docs, text).join(marks, ["doc_id", "th"], "left"), figures, schema)
+    return with_figures(packed(docs, text).join(marks.hint("merge"), ["doc_id", "th"], "left"), figures, schema)
 
 
 def with_figures(rows: DataFrame, figures, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -563,7 +564,7 @@ def with_figures(rows: DataFrame, figures, schema: str, more: tuple[str, ...] =
 def rewritten(docs: DataFrame, marks: DataFrame, change, text: str = "text") -> DataFrame:
     """docs, all rows and columns, with text as change(text's bytes, spans) where there are spans."""
     names = docs.columns
-    m = marks.select(F.col("doc_id").alias("__m_id"), F.col("th").alias("__m_th"), F.col("spans").alias("__spans"))
+    m = marks.select(F.col("doc_id").alias("__m_id"), F.col("th").alias("__m_th"), F.col("spans").alias("__spans")).hint("merge")
     out = docs.join(m, (docs["doc_id"] == m["__m_id"]) & (F.xxhash64(docs[text]) == m["__m_th"]), "left").select(*(docs[c] for c in names), "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -261,7 +261,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     lists = stored(wanted_keys(shared_keys(texts, plan, buckets, "text")), "keys").withColumnRenamed("doc_id", "short")
     wanted = firsts.withColumn("short", short).join(lists, "short").select(F.col("first").alias("doc_id"), "th", "keys")
     long_ = F.conv(F.substring("th", 1, 15), 16, 10).cast("long")
-    whole = packed(docs, th=th).join(wanted, ["doc_id", "th"]).select("doc_id", long_.alias("th"), "z", "keys")
+    whole = packed(docs, th=th).join(wanted.hint("merge"), ["doc_id", "th"]).select("doc_id", long_.alias("th"), "z", "keys")
     marks = marks_from(whole, plan, buckets).withColumnsRenamed({"doc_id": "first", "th": "long"})
     return firsts.withColumn("long", long_).join(marks, ["first", "long"], "left").select("th", "first", "spans")
 
@@ -283,7 +283,7 @@ def figures(raw: bytes, spans: list[tuple[int, int]], later: bool = False, windo
 
 def result(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """docs: doc_id and text; found: repeated_bytes(). doc_id and figures of each row."""
-    rows = packed(docs, text, text_hash(text)).join(stored(found, "marks"), "th", "left")
+    rows = packed(docs, text, text_hash(text)).join(stored(found, "marks").hint("merge"), "th", "left")
     rows = rows.withColumn("later", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     rows = rows.withColumn("spans", F.when(F.col("doc_id").isNotNull(), F.col("spans")))
     return with_figures(rows, figures, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ("later",))
