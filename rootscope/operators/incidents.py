@@ -118,4 +118,4 @@ def incidents(anomalies: DataFrame, windows: DataFrame, resolution: int, cfg: In
         out["resolved"] = out["resolved"].astype("Int64")
         return out
 
-    return rows.groupBy(F.lit(1)).applyInPandas(run, INCIDENT)
+    return rows.withColumn("deployment", F.lit(0)).groupBy("deployment").applyInPandas(run, INCIDENT)

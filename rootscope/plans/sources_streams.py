@@ -92,15 +92,15 @@ def feedback_list(ranks):
 
 def sim_scenario(spark, sf_dir):
     """A CPU fault in a simulated shop: services ranked from its series."""
-    out = sim.run(sim.shop(), [sim.parse_fault("cpu=8:payment@300s+120s")], 420, rate=3.0)
+    out = sim.run(sim.shop(), [sim.parse_fault("cpu=8:payment@180s+60s")], 240, rate=2.0)
     spans, metrics = (spark.createDataFrame(out[k]) for k in ("spans", "metrics"))
-    c = ot.corrected(spans)
-    calls = ot.calls(c)
+    c = ot.corrected(spans).persist()
+    calls = ot.calls(c).persist()
     res = 10_000_000_000
     series = ow.trace_series(ot.visits(c, calls), calls, ot.error_origins(c), res).select("service", "name", "win", "value")
     m = metrics.withColumn("agg", F.lit("level"))
     series = series.unionByName(ow.metric_windows(m, res // 1000).select("service", "name", "win", "value"))
-    whole = ow.calendar(series, ["service", "name"]).withColumns({"incident": F.lit("sim"), "t_s": F.col("win") * 10 - 1_700_000_300})
+    whole = ow.calendar(series, ["service", "name"]).withColumns({"incident": F.lit("sim"), "t_s": F.col("win") * 10 - 1_700_000_180})
     graph = calls.groupBy("caller", "callee").agg(F.count("*").cast("double").alias("weight"))
     ranked = oa.analyze(whole, graph)
     return rounded(ranked.select("rank", "service", "score", "probability"))
