@@ -43,7 +43,9 @@ def service_features(series: DataFrame, graph: DataFrame | None, cfg: ScoreConfi
         top = F.max("max_score").over(_by_incident())
         near = e.select("incident", "service", F.when(top > 0, F.least(F.greatest(F.col("max_score") / top, F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("score"))
         walks = g.anomaly_walk(near.join(F.broadcast(g.nodes(graph)), "service", "left_semi"), graph, walk)
-    return r.features(e, graph, walks, threshold=cfg.threshold), found
+    if walks is not None:
+        walks = walks.persist()
+    return r.features(e, graph, walks, threshold=cfg.threshold).persist(), found
 
 
 def _by_incident():
@@ -67,7 +69,7 @@ def analyze(series: DataFrame, graph: DataFrame | None = None, method: str = "mo
     else:
         scored = feats.withColumn("score", F.col("max_score") if method != "random_walk" or graph is None else F.col("walk") + 1e-9 * F.col("max_score"))
         parts = r.contributions(feats, r.model({f: 1.0 for f in ("rank_score", "log_resource", "log_trace_local", "onset_lead", "upstream_anomalous", "log_logs")}))
-    out = r.ranked(scored, method == "model")
+    out = r.ranked(scored, method == "model").persist()
     tops = r.top_signals(found)
     listed = tops.groupBy("incident", "service").agg(
         F.array_sort(F.collect_list(F.struct("position", "name", "category", "max", "sustained", "shift", "onset_s", "peak_value", "peak_offset_s"))).alias("signals")

@@ -11,7 +11,7 @@ from ..operators import simulate as sim
 from ..operators import traces as ot
 from ..operators import windows as ow
 from ..sources import otlp_json, sinks
-from .common import QUERIES, query, r, rounded
+from .common import query, r, rounded
 
 
 def trace_documents(spans):
@@ -106,9 +106,6 @@ def sim_scenario(spark, sf_dir):
     return rounded(ranked.select("rank", "service", "score", "probability"))
 
 
-QUERIES["sim_scenario"] = sim_scenario
-
-
 @query("ltr_fit", ["ranks"])
 def ltr_fit(ranks):
     """Weights trained on synthetic features whose first column tells the truth."""

@@ -311,7 +311,6 @@ def top_signals(series):
     return ork.top_signals(s, most=2).select("service", "name", "max", F.col("position").cast("long"))
 
 
-@query("rca_reasons", ["series", "graph"])
 def rca_reasons(series, graph):
     out = oa.analyze(_incident(series), _on_graph(graph))
     return out.select("incident", "rank", "service", "score", "probability", F.size("signals").alias("n_signals"), F.array_join("reasons", "; ").alias("reasons"))
