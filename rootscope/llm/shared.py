@@ -6,7 +6,8 @@ window's key, and a unit is a run of windows with one key). The search has four
 
 1. Keys. A task finds which keys several of its own documents have; of every key one document at most goes
    on to the key's bucket, so a key that a third of all documents have costs a bucket one entry per task.
-   Buckets hold sorted 48-bit keys and document ids as packed arrays.
+   Buckets hold sorted 48-bit keys and document ids as packed arrays. A run that later batches meet also has
+   the key's other documents, as their windows may differ.
 2. Units. Documents meet the lists of their shared keys. A task compares the contents of its units: a
    content's later holders are marked in full at once, and its first holder goes on, with the content.
    A key with more than MANY contents in a task is cut to single windows, each with a key of its own.
@@ -36,7 +37,7 @@ from .common import shuffle_partitions, stored
 #: Units of a task's keys that are compared at once; bytes and units of its contents; contents of one key; bytes for a resolver.
 KEYS_AT_ONCE, UNITS_AT_ONCE, MANY, RESOLVE_BYTES, CHUNK = 1 << 20, 150_000, 512, 1 << 19, 1 << 20
 PARTS_PER_TASK = 8
-KEYS, LOCAL, RUN = 0, 1, 2
+KEYS, LOCAL, RUN, MORE = 0, 1, 2, 3
 MARK, CUT, UNIT, ONE = 0, 1, 2, 3
 KEY_SCHEMA = "kind int, bucket int, doc_id long, keys binary"
 UNIT_SCHEMA = "kind int, key long, doc_id long, th long, at binary, content binary"
@@ -168,7 +169,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, *columns: str) -> Itera
         yield raw, others
 
 
-def _keys(plan, buckets: int, column: str):
+def _keys(plan, buckets: int, column: str, keep_run: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, held = [], [], 0
         for raw, (ids,) in chunks(batches, column, "doc_id"):
@@ -197,13 +198,23 @@ def _keys(plan, buckets: int, column: str):
         n = np.diff(first, append=len(low))
         local = np.repeat(n > 1, n)
         rows = by_document(doc[local], (bucket[local].astype(np.uint64) << np.uint64(40)) | low[local], buckets)
-        b, k, d, s = bucket[first], low[first], doc[first], n > 1
-        cut = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
-        return rows + [(KEYS, int(b[i]), None, encode(k[i:j], s[i:j], d[i:j])) for i, j in zip(cut, cut[1:])]
+        rows += by_bucket(KEYS, bucket[first], low[first], n > 1, doc[first])
+        if keep_run:
+            rows += by_bucket(MORE, bucket[~new], low[~new], local[~new], doc[~new])
+        return rows
 
     return run
 
 
+def by_bucket(kind: int, bucket: np.ndarray, low: np.ndarray, several: np.ndarray, doc: np.ndarray) -> list[tuple]:
+    """Sorted keys with documents, packed by bucket, in rows of limited size."""
+    if not len(bucket):
+        return []
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    cut = sorted({0, *cut.tolist(), *range(0, len(bucket), KEYS_AT_ONCE), len(bucket)})
+    return [(kind, int(bucket[i]), None, encode(low[i:j], several[i:j], doc[i:j])) for i, j in zip(cut, cut[1:])]
+
+
 def by_document(doc: np.ndarray, key: np.ndarray, buckets: int) -> list[tuple]:
     """Documents with keys, packed by bucket of documents."""
     if not len(doc):
@@ -240,8 +251,8 @@ def _met(buckets: int, keep_run: bool):
         for b in batches:
             rest = []
             for kind, bucket, doc, keys in zip(*(c.to_pylist() for c in b.columns)):
-                if kind == LOCAL:
-                    rest.append((LOCAL, bucket, doc, keys))
+                if kind in (LOCAL, MORE):  # MORE is for later batches alone: LOCAL has these documents in this one
+                    rest.append((RUN if kind == MORE else LOCAL, bucket, doc, keys))
                 else:
                     (new if kind == KEYS else old).setdefault(bucket, []).append(keys)
             if rest:
@@ -262,7 +273,7 @@ def _met(buckets: int, keep_run: bool):
                 found_keys.append((np.uint64(bucket) << np.uint64(40)) | k[mine])
             found_docs.append(doc[hit])
             found_keys.append((np.uint64(bucket) << np.uint64(40)) | low[hit])
-            size += int(hit.sum())
+            size += sum(map(len, found_docs[-1 - len(was) :]))
             if keep_run and len(low):
                 yield _batch([(RUN, bucket, None, encode(low, several, doc))], KEY_SCHEMA)
             if size > KEYS_AT_ONCE:
@@ -293,7 +304,7 @@ def n_buckets(spark) -> int:
 def shared_keys(docs: DataFrame, plan, buckets: int, column: str, earlier: DataFrame | None = None, keep_run: bool = False) -> DataFrame:
     """KEY_SCHEMA: LOCAL rows with a document's shared keys, and RUN rows, the batch's own sorted keys by bucket."""
     known = docs.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
-    rows = known.select("doc_id", F.col(column).cast("binary").alias(column)).mapInArrow(_keys(plan, buckets, column), KEY_SCHEMA)
+    rows = known.select("doc_id", F.col(column).cast("binary").alias(column)).mapInArrow(_keys(plan, buckets, column, keep_run), KEY_SCHEMA)
     if earlier is not None:
         rows = rows.union(earlier.select("kind", "bucket", "doc_id", "keys"))
     return rows.repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInArrow(_met(buckets, keep_run), KEY_SCHEMA)

@@ -1,8 +1,8 @@
 """Incremental removal of repeated word windows with a log-structured fingerprint index.
 
 The index holds, for each batch that came, an immutable run: by bucket, the sorted fingerprints of the
-batch's windows (one per run of windows that share their least gram hash) with document ids, beside
-the batch's texts. A new batch's sorted fingerprints are merge-joined with one another and with
+batch's windows (one per run of windows that share their least gram hash) with the ids of all documents that
+have them, beside the batch's texts. A new batch's sorted fingerprints are merge-joined with one another and with
 each run; documents of both sides that share fingerprints meet again in shared.py, where windows are compared
 word by word, and those of the new batch that an earlier document starts too are marked. Then the batch
 becomes a run. When there are more than FAN_IN runs, they are compacted: each bucket's runs merged into one.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored
 from .hashing import _BYTE, powers
 from .shared import (
-    KEY_SCHEMA, LOCAL, RUN, Units, _batch, decode, encode, finished, joined, least_runs, marks_of, mixed, n_buckets, packed, shared_keys,
+    KEY_SCHEMA, LOCAL, RUN, Units, _batch, by_bucket, decode, finished, joined, least_runs, marks_of, mixed, n_buckets, packed, shared_keys,
     wanted_keys,
 )
 from .suffix_dedup import without
@@ -93,7 +93,7 @@ def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, runs in held.items():
         low, several, doc = (np.concatenate(x) for x in zip(*map(decode, runs)))
         order = np.lexsort((doc, low))
-        yield _batch([(RUN, bucket, None, encode(low[order], several[order], doc[order]))], KEY_SCHEMA)
+        yield _batch(by_bucket(RUN, np.full(len(low), bucket), low[order], several[order], doc[order]), KEY_SCHEMA)
 
 
 class FingerprintIndex:

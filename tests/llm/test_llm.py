@@ -104,6 +104,30 @@ def test_substring_dedup_is_brute_force(docs, corpus, batches):
     assert rows_of(out.filter("doc_id is not null")) == want
 
 
+def test_earlier_batches_keep_every_holder_of_a_key(spark):
+    plan, r = substring_dedup.WordsPlan(), random.Random(3)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    old, new = [], []
+    while len(new) < 12:  # variants that share a window's key, but no window; then a window of each
+        gram = some(20)
+        three = [" ".join(some(40) + gram + some(40)) for _ in range(3)]
+        u = plan.units([x.encode() for x in three])
+        held = {}
+        for d, s, k in zip(u.doc.tolist(), u.start.tolist(), u.key.tolist()):
+            held.setdefault(k, {})[d] = s
+        starts = next((x for x in held.values() if len(x) == 3), None)
+        if starts:
+            old += three
+            new += [" ".join(x.split()[starts[i] : starts[i] + 50]) for i, x in enumerate(three)]
+    df = spark.createDataFrame(list(enumerate(old + new)), "doc_id long, text string")
+    edges = (0, 6, len(old), len(old + new))
+    for fan_in in (1, 4):
+        index = substring_dedup.FingerprintIndex(spark, fan_in=fan_in)
+        first, second, last = (index.ingest(df.filter(F.col("doc_id").between(a, b - 1)).coalesce(1)) for a, b in zip(edges, edges[1:]))
+        assert first.count() == second.count() == 0
+        assert sorted(x.doc_id for x in last.collect()) == list(range(len(old), len(old + new)))
+
+
 def test_index_compacts_and_refuses_old_ids(spark, docs, corpus):
     index = substring_dedup.FingerprintIndex(spark, fan_in=1)
     marks = None
