@@ -183,7 +183,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    found = stored(found, "links")
+    return grouped(fps, reps, stored(found, "links"))
+
+
+def grouped(fps: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """fps: doc_id and fp; reps: fp and its least doc_id, rep; found: links a and b of fps. Returns doc_id, fp and component_id."""
+    known = fps.filter(F.col("doc_id").isNotNull())
     ends = found.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(
         reps.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b"
     )

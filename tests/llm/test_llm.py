@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rootscope.llm import components, decontaminate, html_text, language, licenses, line_dedup, packing, quality, simhash, substring_dedup, suffix_dedup
+from rootscope.llm import components, decontaminate, html_text, language, licenses, line_dedup, near_copies, packing, quality, simhash, substring_dedup, suffix_dedup
 from rootscope.llm.shared import finished, joined
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -181,6 +181,41 @@ def test_simhash_is_brute_force(docs, corpus):
     assert all(r.component_id == (None if r.doc_id is None else label[r.doc_id]) for r in got)
 
 
+def test_near_copies_are_brute_force_jaccard(spark, docs, corpus):
+    r = random.Random(2)
+    rows = [(i, t) for i, t, *_ in corpus if i is not None]
+    for base in range(12):
+        words = [f"v{r.randrange(5000)}" for _ in range(r.randint(60, 400))]
+        for copy in range(5):
+            own = list(words)
+            for at in r.sample(range(len(own)), max(1, len(own) * copy // 90)):
+                own[at] = "Other"
+            rows.append((100 + 5 * base + copy, " ".join(own)))
+    sets = []
+    for _, t in rows:
+        w = [x.lower() for x in (t or "").split()]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    label = {d: d for d, _ in rows}
+    changed, far = True, 0
+    while changed:
+        changed = False
+        for i, (a, _) in enumerate(rows):
+            for j, (b, _) in enumerate(rows[:i]):
+                if label[a] != label[b] and (a == b or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                    worst, best = max(label[a], label[b]), min(label[a], label[b])
+                    label = {d: best if x == worst else x for d, x in label.items()}
+                    changed = True
+                    x, y = (simhash.fingerprint((rows[k][1] or "").encode()) for k in (i, j))
+                    far += (x ^ y).bit_count() > 2
+    assert far > 10
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3)
+    got = near_copies.near_copies(df).collect()
+    assert all(x.component_id == (None if x.doc_id is None else label[x.doc_id]) for x in got) and len(got) == len(rows) + 1
+    kept = corpus_pipeline.simhash_near_dedup(spark, df, "").collect()
+    assert Counter(x.doc_id for x in kept) == Counter([None, *(d for d, _ in rows if label[d] == d)])
+    assert near_copies.near_copies(df.limit(0)).count() == 0
+
+
 def test_fingerprint_by_definition():
     import xxhash
 
