@@ -341,9 +341,12 @@ class Holders:
         every = sorted([(was[0], t, s), *((doc, th, x) for x in starts)])
         d, t, s = every[0]
         held[content] = [d, {t: [s]}]
-        for d, t, s in every[1:]:
-            if (d, t, s) != every[0]:
-                self.mark(d, t, [s], self.plan.length(content))
+        n = self.plan.length(content)
+        for e, u, x in every[1:]:
+            if (e, u, x) != every[0]:
+                # What the first holder itself covers stays.
+                a = max(x, s + n) if (e, u) == (d, t) else x
+                self.marks.setdefault((e, u), []).append((a, x + n))
 
     def rows(self) -> list[tuple]:
         out = [(MARK, hash((d, t)), d, t, np.array(joined(s), "<i4").tobytes(), None) for (d, t), s in self.marks.items()]

@@ -165,6 +165,41 @@ def test_line_dedup_is_brute_force(docs, corpus):
     assert out.columns == docs.columns and rows_of(out) == want
 
 
+def brute_lines(rows):
+    """Lines left by doc_id: what stands in a window of two lines with words that stands earlier goes."""
+    first, out = {}, {}
+    for d, t in sorted(rows):
+        lines = t.split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for a, b in zip(at, at[1:]):
+            was = first.setdefault(tuple(lines[a : b + 1]), (d, a))
+            if was != (d, a):
+                gone |= set(range(max(a, was[1] + b + 1 - a) if was[0] == d else a, b + 1))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_line_windows_are_brute_force(spark):
+    r = random.Random(8)
+    some = lambda n: [r.choice(["", " ", *(f"line {r.randrange(10**6)}" for _ in range(9))]) for _ in range(n)]
+    passages = [[f"passage {i} line {k}" for k in range(2 + i % 5)] for i in range(8)]
+    rows = []
+    for d in range(60):
+        parts = [some(r.randint(0, 6)), r.choice(passages), some(r.randint(0, 4)), r.choice(passages)[r.randint(0, 1) :]]
+        rows.append((d, "\n".join(x for p in parts for x in p)))
+    rows += [(100 + d, t) for d, t in rows[:20]]  # exact copies
+    rows += [(200, "same\n" * 9 + "end"), (201, "a\nb\n\na\nb\na\nb"), (202, "end\nsame\nsame\nsame"), (203, ""), (204, "one line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.text for x in line_dedup.remove_lines(df, whole=True).collect()}
+    assert got == brute_lines(rows)
+    assert all(len([x for x in got[100 + d].split("\n") if x.strip()]) == 0 for d in range(20))
+    cols = "n_lines long, n_removed long, n_runs long, kept_sha256 string"
+    out = finished(df, line_dedup.repeated_chunks(df, whole=True), line_dedup.figures, cols).collect()
+    assert {x.doc_id: x.kept_sha256 for x in out} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in got.items()}
+    assert line_dedup.remove_lines(df.limit(0), whole=True).count() == 0
+
+
 def test_simhash_is_brute_force(docs, corpus):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(corpus)
