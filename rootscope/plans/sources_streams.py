@@ -76,7 +76,7 @@ def otlp_json_logs(logs):
 
 @query("webhook_payloads", ["ranks"])
 def webhook_payloads(ranks):
-    events = ranks.filter("case_id < 1000").select(F.lit("opened").alias("event"), F.concat(F.lit("inc-"), F.col("case_id").cast("string")).alias("id"), "dataset", "rank")
+    events = ranks.select(F.lit("opened").alias("event"), F.concat(F.lit("inc-"), F.col("case_id").cast("string")).alias("id"), "dataset", "rank")
     return sinks.payloads(events, "secret")
 
 
@@ -110,7 +110,7 @@ def sim_scenario(spark, sf_dir):
 def ltr_fit(ranks):
     """Weights trained on synthetic features whose first column tells the truth."""
     u = lambda i: F.pmod(F.xxhash64("case_id", "service", F.lit(i)), F.lit(1000)) / 1000.0
-    f = ranks.filter("case_id < 300").select("case_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("service"))
+    f = ranks.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("service"))
     f = f.withColumn("truth", F.col("service") == F.col("case_id") % 5)
     f = f.withColumns({n: u(i) for i, n in enumerate(ork.FEATURES)}).withColumn("rel_max", F.when(F.col("truth"), 0.7).otherwise(0.2) + 0.3 * F.col("rel_max"))
     m = oe.fit(f.withColumn("incident", F.col("case_id").cast("string")), "truth", rounds=3)

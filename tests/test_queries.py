@@ -26,6 +26,17 @@ def canonical(rows, columns):
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_every_rank_is_delivered_and_trained_on(spark, con, monkeypatch):
+    from rootscope.operators import evaluation
+
+    assert QUERIES["webhook_payloads"](spark, DATA).count() == con.execute("SELECT count(*) FROM orders").fetchone()[0]
+    seen = []
+    monkeypatch.setattr(evaluation, "fit", lambda f, *a, **k: seen.append(f.select("incident").distinct().count()) or {"weights": {"x": 0.0}})
+    QUERIES["ltr_fit"](spark, DATA)
+    assert seen == [con.execute("SELECT count(DISTINCT o_orderkey) FROM orders").fetchone()[0]]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 @pytest.mark.parametrize("name", sorted(n for n in ORACLE if not n.startswith(("op", "pipeline"))))
 def test_matches_sql(spark, con, name):
