@@ -4,7 +4,8 @@ Base figures of a text (words, symbols, repeated lines, words in repeated 3-word
 zstandard ratios, input bytes by compressed bytes, over the whole text and over its fixed chunks.
 Repetitive text compresses too well for its length and noise too badly, so each length has a band of
 its own (a text's first kilobyte has little to refer back to). A text is kept if the base rules hold, its
-own ratio is in the band of its length and at most half of its full chunks are out of theirs.
+own ratio is in the band of its length and at most half of its chunks, the last and shorter one among them, are out of
+those of theirs.
 
 Null text: no words, base_failed. Extra columns, ties and repeated rows: each row is judged alone.
 """
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVEL, CHUNK_BYTES, MIN_WORDS, MAX_REPEAT_PERCENT, MAX_BAD_CHUNKS = 3, 4096, 50, 50, 0.5
+LEVEL, CHUNK_BYTES, MIN_WORDS, MAX_REPEAT_PERCENT, MAX_BAD_CHUNKS = 3, 1024, 50, 50, 0.5
 #: From so many bytes on: the least and the most ratio. Prose of several European languages lies at about
 #: 1.2 to 1.6 below 512 bytes, 1.5 to 2.1 up to 2 KB, 1.9 to 2.4 up to 16 KB and 2.2 to 2.6 beyond.
 BANDS = [
@@ -82,11 +83,9 @@ def judge(raw: bytes, packer: zstandard.ZstdCompressor, chunk_bytes: int = CHUNK
     n_words, word_chars, symbols, dup_lines, repeats = base_figures(raw)
     base_failed = n_words < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n_words
     ratio = len(raw) / len(packer.compress(raw)) if raw else 0.0
-    n_chunks = len(raw) // chunk_bytes
-    bad = sum(
-        not in_band(chunk_bytes, chunk_bytes / len(packer.compress(raw[i * chunk_bytes : (i + 1) * chunk_bytes])))
-        for i in range(n_chunks)
-    )
+    chunks = [raw[i : i + chunk_bytes] for i in range(0, len(raw), chunk_bytes)]
+    n_chunks = len(chunks)
+    bad = sum(not in_band(len(x), len(x) / len(packer.compress(x))) for x in chunks)
     kept = not base_failed and in_band(len(raw), ratio) and bad <= MAX_BAD_CHUNKS * n_chunks
     return n_words, word_chars, symbols, dup_lines, repeats, base_failed, kept, ratio, n_chunks, bad
 

@@ -366,6 +366,20 @@ def test_compression_bands():
     assert not quality.judge((prose[:40] * 60).encode(), z)[6] and not quality.judge(hashlib.sha512(b"x").hexdigest().encode() * 40, z)[6]
 
 
+def test_last_and_short_chunks_are_judged():
+    z, r = zstandard.ZstdCompressor(level=3), random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(n))[:n].encode()
+    noise = lambda n: bytes(r.randrange(33, 256) for _ in range(n))
+    n_chunks, bad = quality.judge(prose(900), z)[8:]
+    assert (n_chunks, bad) == (1, 0)
+    assert quality.judge(prose(2048) + noise(900), z)[8:] == (3, 1)  # the tail is noise
+    assert quality.judge(prose(8192) + noise(3 * 1024), z)[8:] == (11, 3)
+    mixed = prose(1100) + noise(1972)
+    assert quality.in_band(len(mixed), 1.4) and quality.judge(mixed, z)[8:] == (3, 2) and not quality.judge(mixed, z)[6]
+    assert quality.judge(prose(4096) + (b"again and " * 400)[:3000], z, 4096)[8:] == (2, 1)
+    assert quality.judge(b"", z)[8:] == (0, 0)
+
+
 def test_licences(spark):
     a = licenses.automaton()
     scan = lambda t: licenses.scan(t.encode(), a)
