@@ -14,16 +14,20 @@ from .robust import summary
 
 TINY = 10 * 2.220446049250313e-16
 KEYS = ["service", "name"]
+DAY_S = 86_400
 
 
 def split(series: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Rows of each incident's reference and abnormal periods: a range join with the few incidents.
+    """Rows of each incident's reference and abnormal periods: a range join by days, with any number of incidents.
 
-    incidents: incident, t0_s, from_s, to_s; series: time_s. Adds incident and t_s.
+    incidents: incident, t0_s, from_s, to_s (finite); series: time_s. Adds incident and t_s.
     """
-    i = F.broadcast(incidents.limit(10_000))  # open incidents of a deployment
-    out = series.join(i, (series["time_s"] >= i["from_s"]) & (series["time_s"] < i["to_s"]))
-    return out.withColumn("t_s", F.col("time_s") - F.col("t0_s")).drop("t0_s", "from_s", "to_s")
+    day = lambda c: F.floor(c / DAY_S)
+    days = F.sequence(day(F.col("from_s")), day(F.col("to_s")))
+    i = incidents.filter("from_s < to_s").withColumn("__day", F.explode(days))
+    inside = (F.col("time_s") >= i["from_s"]) & (F.col("time_s") < i["to_s"])
+    out = series.withColumn("__day", day(F.col("time_s"))).join(i, "__day").filter(inside)
+    return out.withColumn("t_s", F.col("time_s") - F.col("t0_s")).drop("t0_s", "from_s", "to_s", "__day")
 
 
 def classified(series: DataFrame) -> DataFrame:

@@ -275,3 +275,15 @@ def test_collected_messages_count_once(spark):
 
 def test_normal_tail():
     assert fn.normal_sf(0) == 0.5 and fn.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6) and math.isinf(fn.normal_quantile(1.0))
+
+
+def test_split_joins_every_incident(spark):
+    n = 10_500
+    i = spark.range(n).select(F.col("id").alias("incident"), (F.col("id") * 60).alias("t0_s"), (F.col("id") * 60 - 60).alias("from_s"), (F.col("id") * 60 + 60).alias("to_s"))
+    series = spark.range(n).select(F.lit("s").alias("service"), (F.col("id") * 60).alias("time_s"), F.col("id").cast("double").alias("value"))
+    out = scores.split(series, i)
+    assert sorted(out.columns) == ["incident", "service", "t_s", "time_s", "value"]
+    assert out.groupBy("t_s").count().sort("t_s").collect() == [(-60, n - 1), (0, n)]
+    odd = spark.createDataFrame([("long", 0.5, -400_000.25, 500_000.0), ("none", 5.0, 9.0, 9.0), ("null", 5.0, None, 9.0)], "incident string, t0_s double, from_s double, to_s double")
+    times = spark.createDataFrame([(x,) for x in (-400_000.5, -400_000.25, -86_400.0, 0.0, 86_399.5, 432_000.0, 499_999.5, 500_000.0, None)], "time_s double")
+    assert sorted((r.incident, r.t_s) for r in scores.split(times, odd).collect()) == [("long", x - 0.5) for x in (-400_000.25, -86_400.0, 0.0, 86_399.5, 432_000.0, 499_999.5)]
