@@ -77,7 +77,7 @@ def cells(fp: np.ndarray, distance: int = DISTANCE, bits: int = SEGMENT_BITS, gr
         for column in part.T:
             axis = axis * np.uint64(bits + 1) + column
         axes.append(axis)
-    for k, chosen in enumerate(combinations(range(groups), groups - distance)):
+    for k, chosen in enumerate(combinations(range(groups), max(0, groups - distance))):
         key = np.full(len(fp), k + 1, np.uint64)
         for g in chosen:
             key = (key ^ axes[g]) * np.uint64(0x9E3779B97F4A7C15)
@@ -85,11 +85,16 @@ def cells(fp: np.ndarray, distance: int = DISTANCE, bits: int = SEGMENT_BITS, gr
         yield key.view(np.int64)
 
 
-def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp = batch.column(0)
-        for key in cells(fp.to_numpy().view(np.uint64)):
-            yield pa.RecordBatch.from_arrays([pa.array(key), fp], names=["key", "fp"])
+def _in_cells(distance: int):
+    groups = min(max(GROUPS, distance + 1), 64 // SEGMENT_BITS)  # more than may differ, if there are so many
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0)
+            for key in cells(fp.to_numpy().view(np.uint64), distance, groups=groups):
+                yield pa.RecordBatch.from_arrays([pa.array(key), fp], names=["key", "fp"])
+
+    return run
 
 
 def links(fp: np.ndarray, distance: int = DISTANCE, cell: int = CELL) -> list[tuple[int, int]]:
@@ -176,7 +181,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
     n = shuffle_partitions(spark)
     found = (
         reps.select("fp")
-        .mapInArrow(_in_cells, "key long, fp long")
+        .mapInArrow(_in_cells(distance), "key long, fp long")
         .repartition(n, "key")
         .sortWithinPartitions("key")
         .mapInArrow(_linked(distance), "a long, b long")

@@ -251,6 +251,24 @@ def test_near_copies_are_brute_force_jaccard(spark, docs, corpus):
     assert near_copies.near_copies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("distance", [3, 9])
+def test_simhash_at_other_distances_is_brute_force(spark, distance):
+    r = random.Random(6)
+    rows = []
+    for base in range(40):
+        words = [f"v{r.randrange(5000)}" for _ in range(150)]
+        rows.append((2 * base, " ".join(words)))
+        for at in r.sample(range(150), distance // 3 + base % 4):
+            words[at] = "other"
+        rows.append((2 * base + 1, " ".join(words)))
+    fp = [simhash.fingerprint(t.encode()) for _, t in rows]
+    pairs = [(a, b) for b in range(len(fp)) for a in range(b) if (fp[a] ^ fp[b]).bit_count() <= distance]
+    assert any((fp[a] ^ fp[b]).bit_count() == distance for a, b in pairs)
+    label = _groups(range(len(fp)), pairs)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in simhash.near_duplicates(df, distance=distance).collect()} == label
+
+
 def test_fingerprint_by_definition():
     import xxhash
 
