@@ -141,12 +141,12 @@ def test_durations():
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=60))
 def test_cusum_is_the_recursion(xs):
-    d = detector.Detector("both", DetectorConfig())
+    d = detector.Drift(1.0, 12.0)
     up = down = 0.0
     for x in xs:
         up, down = max(0.0, up + x - 1), max(0.0, down - x - 1)
-        d._cusum(x)
-        assert (d.up, d.down) == (up, down)
+        rises, falls, _ = d.push(x)
+        assert d.sums == [up, down] and (rises, falls) == (up > 12, down > 12)
 
 
 def test_sketch_error_and_merge(spark):
