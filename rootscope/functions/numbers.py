@@ -50,9 +50,9 @@ def significant(x: Column) -> Column:
 def onset_phrase(onset: Column) -> Column:
     return (
         F.when(onset.isNull(), "")
-        .when(F.abs(onset) < 0.5, ", starting when the incident began")
-        .when(onset < 0, F.format_string(", starting %.0fs before the incident was detected", -onset))
-        .otherwise(F.format_string(", starting %.0fs after the incident began", onset))
+        .when(F.abs(onset) < 0.5, ", from the begin of the incident on")
+        .when(onset < 0, F.format_string(", from %.0f s before the incident on", -onset))
+        .otherwise(F.format_string(", from %.0f s into the incident on", onset))
     )
 
 

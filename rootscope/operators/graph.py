@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import WalkConfig
+from ..tables import stored
 
 
 def edges(df: DataFrame) -> DataFrame:
@@ -36,26 +35,17 @@ def neighbours(df: DataFrame) -> DataFrame:
 def closure(df: DataFrame) -> DataFrame:
     """Every (service, descendant) pair but a service with itself, cycles and all.
 
-    One search over the distinct edges: a service graph has as many edges as services call services, whatever the traffic.
+    Paths double each round until no pair is new, so there are as many rounds as the longest shortest path has doublings.
     """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(f["caller"], f["callee"]):
-            near.setdefault(a, []).append(b)
-        out = []
-        for start in near:
-            seen, todo = {start}, [start]
-            while todo:
-                for b in near.get(todo.pop(), ()):
-                    if b not in seen:
-                        seen.add(b)
-                        todo.append(b)
-            out += [(start, x) for x in seen if x != start]
-        return pd.DataFrame(out, columns=["service", "descendant"])
-
-    pairs = df.filter("caller <> callee").select("caller", "callee").distinct().withColumn("graph", F.lit(0))
-    return pairs.groupBy("graph").applyInPandas(run, "service string, descendant string")
+    pairs = df.filter("caller <> callee").select(F.col("caller").alias("service"), F.col("callee").alias("descendant")).distinct()
+    pairs = stored(pairs, "closure")
+    n, was = pairs.count(), -1
+    while n != was:
+        onward = pairs.select(F.col("service").alias("descendant"), F.col("descendant").alias("next"))
+        longer = pairs.join(onward, "descendant").filter("service <> next").select("service", F.col("next").alias("descendant"))
+        pairs = stored(pairs.union(longer).distinct(), "closure")
+        n, was = pairs.count(), n
+    return pairs
 
 
 def walk(names: list[str], pairs: list[tuple[str, str]], score: np.ndarray, cfg: WalkConfig = WalkConfig()) -> np.ndarray:
@@ -92,18 +82,19 @@ def walk(names: list[str], pairs: list[tuple[str, str]], score: np.ndarray, cfg:
 def anomaly_walk(scores: DataFrame, graph: DataFrame, cfg: WalkConfig = WalkConfig()) -> DataFrame:
     """scores: incident, service, score for each incident's graph nodes. Returns incident, service, walk.
 
-    The graph, one row per edge of services, goes with each incident's rows as one array.
+    An incident's walk folds in one task, over its nodes and, as one array on one of its rows, the edges between services.
     """
-    pairs = edges(graph).agg(F.collect_list(F.struct("caller", "callee")).alias("pairs"))
-    named = nodes(graph)
+    pairs = edges(graph).agg(F.array_sort(F.collect_list(F.struct("caller", "callee"))).alias("pairs"))  # one row
     ids = scores.select("incident").distinct()
-    full = ids.crossJoin(F.broadcast(named)).join(scores, ["incident", "service"], "left").fillna({"score": 0.0})
+    given = ids.crossJoin(nodes(graph)).join(scores, ["incident", "service"], "left").fillna({"score": 0.0})
+    rows = given.select("incident", "service", "score", F.lit(None).cast(pairs.schema["pairs"].dataType).alias("pairs"))
+    rows = rows.union(ids.crossJoin(pairs).select("incident", F.lit(None).cast("string"), F.lit(None).cast("double"), "pairs"))
 
-    def run(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        f = frames.sort_values("service")
-        p = [(x["caller"], x["callee"]) for x in f["pairs"].iloc[0]]
+    def run(frames: pd.DataFrame) -> pd.DataFrame:
+        f = frames[frames["service"].notna()].sort_values("service")
+        held = frames.loc[frames["service"].isna(), "pairs"].iloc[0]
         out = f[["incident", "service"]].copy()
-        out["walk"] = walk(f["service"].tolist(), sorted(p), f["score"].to_numpy(float), cfg)
+        out["walk"] = walk(f["service"].tolist(), [(x["caller"], x["callee"]) for x in held], f["score"].to_numpy(float), cfg)
         return out
 
-    return full.crossJoin(F.broadcast(pairs)).groupBy("incident").applyInPandas(run, "incident string, service string, walk double")
+    return rows.groupBy("incident").applyInPandas(run, "incident string, service string, walk double")

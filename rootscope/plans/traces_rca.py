@@ -21,7 +21,8 @@ from ..functions import signals as fg
 W = 7 * 86_400_000_000_000
 _T = 604_800  # seconds of a window
 
-_LINK = """p AS (SELECT s.*, q.service AS pservice FROM spans s LEFT JOIN spans q ON s.trace_id = q.trace_id AND s.parent_id = q.span_id AND s.parent_id <> 0 AND s.parent_id <> s.span_id)"""
+_LINK = """p AS (SELECT s.*, q.service AS pservice FROM (SELECT *, CASE WHEN parent_id <> 0 AND parent_id <> span_id THEN parent_id END AS link FROM spans) s
+    LEFT JOIN (SELECT trace_id AS qt, span_id AS qid, service FROM spans) q ON s.trace_id = q.qt AND s.link = q.qid)"""
 #: Offsets and entry spans by recursion from the roots.
 TREE = f"""{_LINK}, t AS (SELECT trace_id, span_id, service, kind, status, peer, start_ns AS a, end_ns AS b, span_id AS entry_id, true AS root, false AS moved FROM p WHERE pservice IS NULL
     UNION ALL SELECT c.trace_id, c.span_id, c.service, c.kind, c.status, c.peer, c.start_ns + c.off, c.end_ns + c.off, CASE WHEN c.service = c.ps THEN c.pe ELSE c.span_id END, false, c.mv FROM
@@ -248,22 +249,41 @@ def _on_graph(graph):
 
 _NODE = "CASE {c} WHEN 'n0' THEN 'click' WHEN 'n1' THEN 'error' WHEN 'n2' THEN 'purchase' WHEN 'n3' THEN 'signup' WHEN 'n4' THEN 'view' ELSE {c} END"
 _OR = "CASE WHEN x > 0 THEN x ELSE 0 END"
-FEATURES_SQL = f"""{scores_sql("robust")}, gr AS (SELECT {_NODE.format(c="caller")} AS caller, {_NODE.format(c="callee")} AS callee FROM graph),
+#: The walk's dense matrix, restart and dangling nodes included, applied as often as the operator does at most.
+_WALK = """ws AS (SELECT nd.service, CASE WHEN t.m > 0 THEN least(greatest(f0.mx / t.m, 0), 1) ELSE 0 END AS s FROM nd JOIN f0 USING (service), (SELECT max(mx) AS m FROM f0) t),
+    er AS (SELECT DISTINCT caller, callee FROM gr WHERE caller <> callee), sr0 AS (SELECT sum(s) AS total FROM ws),
+    ne AS (SELECT service, max(s) AS s FROM (SELECT caller AS service, x.s FROM er JOIN ws x ON x.service = callee UNION ALL SELECT callee, x.s FROM er JOIN ws x ON x.service = caller) GROUP BY 1),
+    mv AS (SELECT a, b, sum(v) AS v FROM (SELECT caller AS a, callee AS b, x.s AS v FROM er JOIN ws x ON x.service = callee UNION ALL SELECT callee, caller, 0.2e0 * x.s FROM er JOIN ws x ON x.service = caller
+        UNION ALL SELECT ws.service, ws.service, greatest(0, ws.s - coalesce(ne.s, 0)) FROM ws LEFT JOIN ne USING (service)) GROUP BY 1, 2),
+    mt AS (SELECT a, sum(v) AS t FROM mv GROUP BY 1),
+    dm AS (SELECT i.service AS a, j.service AS b, CASE WHEN coalesce(mt.t, 0) > 0 THEN 0.85e0 * coalesce(mv.v, 0) / mt.t ELSE 0 END + (CASE WHEN coalesce(mt.t, 0) > 0 THEN 0.15e0 ELSE 1e0 END) * j.s / (SELECT total FROM sr0) AS v
+        FROM ws i CROSS JOIN ws j LEFT JOIN mv ON mv.a = i.service AND mv.b = j.service LEFT JOIN mt ON mt.a = i.service),
+    wk AS (SELECT 0 AS k, service, s / (SELECT total FROM sr0) AS p FROM ws UNION ALL SELECT k + 1, dm.b, sum(wk.p * dm.v) FROM wk JOIN dm ON dm.a = wk.service WHERE k < 200 GROUP BY k, dm.b),
+    wf AS (SELECT service, p / sum(p) OVER () AS p, p / max(p) OVER () AS walk FROM wk WHERE k = 200)"""
+
+
+def features_sql(scaling: str = "robust") -> str:
+    """CTEs ending in `fe`, the features of the services of `series` on `graph`."""
+    return f"""{scores_sql(scaling)}, gr AS (SELECT {_NODE.format(c="caller")} AS caller, {_NODE.format(c="callee")} AS callee FROM graph),
     c AS (SELECT caller AS service, callee AS descendant FROM gr UNION SELECT c.service, g.callee FROM c JOIN gr g ON g.caller = c.descendant), nd AS (SELECT caller AS service FROM gr UNION SELECT callee FROM gr),
     ev AS (SELECT service, max(CASE WHEN category <> 'traffic' THEN mx END) AS mx, max(CASE WHEN category <> 'traffic' THEN sustained END) AS su, count(*) FILTER (category <> 'traffic') AS n, count(*) FILTER (category <> 'traffic' AND mx > 3) AS na, min(CASE WHEN category <> 'traffic' AND mx > 3 THEN onset_s END) AS onset_s,
         {", ".join(f"greatest(0, max(CASE WHEN category IN ({', '.join(repr(m) for m in members)}) THEN mx END)) AS top_{g}" for g, members in fg.GROUPS.items())} FROM sc GROUP BY 1),
     ca AS (SELECT service FROM ev UNION SELECT service FROM nd), f0 AS (SELECT service, coalesce(mx, 0) AS mx, coalesce(su, 0) AS su, coalesce(n, 0) AS n, coalesce(na, 0) AS na, onset_s, {", ".join(f"coalesce(top_{g}, 0) AS top_{g}" for g in fg.GROUPS)} FROM ca LEFT JOIN ev USING (service)),
+    {_WALK},
     ce2 AS (SELECT o.service, greatest(0, max(least(x.mx / greatest(o.top_latency, o.top_errors), 1))) AS v FROM f0 o JOIN gr ON gr.caller = o.service JOIN f0 x ON x.service = gr.callee WHERE greatest(o.top_latency, o.top_errors) > 3 GROUP BY 1),
     dn AS (SELECT c.service, avg(CAST(x.mx > 3 AS INT)) AS v FROM c JOIN f0 x ON x.service = c.descendant WHERE c.service <> c.descendant GROUP BY 1), up AS (SELECT c.descendant AS service, avg(CAST(x.mx > 3 AS INT)) AS v FROM c JOIN f0 x ON x.service = c.service WHERE c.service <> c.descendant GROUP BY 1),
     fe AS (SELECT 'a' AS incident, service, mx AS max_score, onset_s, ln(1 + greatest(mx, 0)) AS log_max, CASE WHEN max(mx) OVER () > 0 THEN least(greatest(mx / max(mx) OVER (), 0), 1) ELSE 0 END AS rel_max, 1 - (rank() OVER (ORDER BY mx DESC) - 1) / CAST(count(*) OVER () - 1 AS DOUBLE) AS rank_score,
         ln(1 + greatest(su, 0)) AS log_sustained, {", ".join(f"ln(1 + greatest(top_{g}, 0)) AS log_{g}" for g in fg.GROUPS)}, CASE WHEN n > 0 THEN na / CAST(n AS DOUBLE) ELSE 0 END AS frac_anomalous,
-        CASE WHEN onset_s IS NULL THEN 0 WHEN max(onset_s) OVER () > min(onset_s) OVER () THEN (max(onset_s) OVER () - onset_s) / (max(onset_s) OVER () - min(onset_s) OVER ()) ELSE 1 END AS onset_lead, CASE WHEN onset_s IS NULL THEN 0e0 ELSE 1e0 END AS has_onset, 0e0 AS walk,
+        CASE WHEN onset_s IS NULL THEN 0 WHEN max(onset_s) OVER () > min(onset_s) OVER () THEN (max(onset_s) OVER () - onset_s) / (max(onset_s) OVER () - min(onset_s) OVER ()) ELSE 1 END AS onset_lead, CASE WHEN onset_s IS NULL THEN 0e0 ELSE 1e0 END AS has_onset, coalesce(wf.walk, 0) AS walk,
         coalesce(ce2.v, 0) AS callee_explained, coalesce(up.v, 0) AS upstream_anomalous, coalesce(dn.v, 0) AS downstream_anomalous, CASE WHEN service IN (SELECT service FROM nd) AND service NOT IN (SELECT callee FROM gr) THEN 1e0 ELSE 0e0 END AS is_entry, CASE WHEN service IN (SELECT service FROM nd) THEN 1e0 ELSE 0e0 END AS in_graph, 0e0 AS frac_silent
-        FROM f0 LEFT JOIN ce2 USING (service) LEFT JOIN up USING (service) LEFT JOIN dn USING (service))"""
+        FROM f0 LEFT JOIN ce2 USING (service) LEFT JOIN up USING (service) LEFT JOIN dn USING (service) LEFT JOIN wf USING (service))"""
 
 
-def _features(series, graph):
-    return oa.service_features(_incident(series), _on_graph(graph), walk=None)
+FEATURES_SQL = features_sql()
+
+
+def _features(series, graph, scaling="robust"):
+    return oa.service_features(_incident(series), _on_graph(graph), scaling=scaling)
 
 
 @query("service_features", ["series", "graph"], f"{FEATURES_SQL} SELECT incident, service, {r('max_score')} AS max_score, onset_s, {', '.join(f'{r(x)} AS {x}' for x in ork.FEATURES)} FROM fe", recursive=True)
@@ -279,10 +299,35 @@ _FLAT = {f: 1.0 for f in ork.FEATURES if f.startswith("log_")}
 _RANK = f"row_number() OVER (ORDER BY {{s}} DESC, service)"
 
 
-@query("rank_max_score", ["series", "graph"], f"{FEATURES_SQL} SELECT incident, service, {r('max_score')} AS score, {_RANK.format(s='max_score')} AS rank, {r('CASE WHEN sum(greatest(max_score, 0)) OVER () > 0 THEN greatest(max_score, 0) / sum(greatest(max_score, 0)) OVER () ELSE 0 END')} AS probability FROM fe QUALIFY rank <= 20", recursive=True)
+def _shares_sql(scaling: str, score: str) -> str:
+    share = "CASE WHEN sum(greatest(score, 0)) OVER () > 0 THEN greatest(score, 0) / sum(greatest(score, 0)) OVER () ELSE 0 END"
+    return f"""{features_sql(scaling)}, sx AS (SELECT incident, service, {score} AS score FROM fe LEFT JOIN (SELECT service, p FROM wf) USING (service))
+        SELECT incident, service, {r('score')} AS score, {_RANK.format(s='score')} AS rank, {r(share)} AS probability FROM sx QUALIFY rank <= 20"""
+
+
+def _ranked(series, graph, method, scaling="robust"):
+    f, _ = _features(series, graph, scaling)
+    return oa.ranking(f, method).select("incident", "service", "score", F.col("rank").cast("long"), "probability")
+
+
+@query("rank_max_score", ["series", "graph"], _shares_sql("robust", "max_score"), recursive=True)
 def rank_max_score(series, graph):
-    f = _features(series, graph)[0].withColumn("score", F.col("max_score"))
-    return ork.ranked(f, False).select("incident", "service", "score", F.col("rank").cast("long"), "probability")
+    return _ranked(series, graph, "max_score")
+
+
+@query("rank_baro", ["series", "graph"], _shares_sql("iqr", "max_score"), recursive=True)
+def rank_baro(series, graph):
+    return _ranked(series, graph, "baro", "iqr")
+
+
+@query("rank_nsigma", ["series", "graph"], _shares_sql("nsigma", "max_score"), recursive=True)
+def rank_nsigma(series, graph):
+    return _ranked(series, graph, "nsigma", "nsigma")
+
+
+@query("rank_random_walk", ["series", "graph"], _shares_sql("robust", "coalesce(walk, 0) + 1e-9 * max_score"), recursive=True)
+def rank_random_walk(series, graph):
+    return _ranked(series, graph, "random_walk")
 
 
 _HEUR = f"sl AS (SELECT *, {_linear_sql(ork.HEURISTIC)} AS score, {_linear_sql(_FLAT)} AS other FROM fe), sr AS (SELECT *, exp(score - max(score) OVER ()) AS ex, {_RANK.format(s='score')} AS rank FROM sl)"
@@ -290,8 +335,7 @@ _HEUR = f"sl AS (SELECT *, {_linear_sql(ork.HEURISTIC)} AS score, {_linear_sql(_
 
 @query("rank_heuristic", ["series", "graph"], f"{FEATURES_SQL}, {_HEUR} SELECT incident, service, {r('score')} AS score, rank, {r('ex / (SELECT sum(ex) FROM sr)')} AS probability FROM sr WHERE rank <= 20", recursive=True)
 def rank_heuristic(series, graph):
-    s = ork.linear(_features(series, graph)[0], ork.model(ork.HEURISTIC))
-    return ork.ranked(s).select("incident", "service", "score", F.col("rank").cast("long"), "probability")
+    return _ranked(series, graph, "model")
 
 
 @query("ensemble_rank", ["series", "graph"], f"{FEATURES_SQL}, {_HEUR}, se AS (SELECT *, (score - avg(score) OVER ()) / stddev_pop(score) OVER () + (other - avg(other) OVER ()) / stddev_pop(other) OVER () AS total FROM sl) SELECT incident, service, {r('total')} AS score, {_RANK.format(s='total')} AS rank FROM se QUALIFY rank <= 20", recursive=True)
@@ -311,14 +355,54 @@ def top_signals(series):
     return ork.top_signals(s, most=2).select("service", "name", "max", F.col("position").cast("long"))
 
 
+def _digits(x: str) -> str:
+    cases = " ".join(f"WHEN {d} THEN printf('%.{d}f', {x})" for d in range(9))
+    return f"CASE WHEN {x} IS NULL THEN 'n/a' WHEN {x} = 0 THEN '0' ELSE CASE CAST(greatest(0, least(8, 2 - floor(log10(abs({x}))))) AS INTEGER) {cases} END END"
+
+
+_SHARE = "CAST(CAST(round(100 * {}) AS INTEGER) AS VARCHAR) || '%'"
+_ONSET = """CASE WHEN onset_s IS NULL THEN '' WHEN abs(onset_s) < 0.5 THEN ', from the begin of the incident on' WHEN onset_s < 0 THEN printf(', from %.0f s before the incident on', -onset_s)
+    ELSE printf(', from %.0f s into the incident on', onset_s) END"""
+_ODD = "printf('%.1f', exp({}) - 1)"
+#: Feature, condition and words, as ranking.reasons() has them.
+_STATEMENTS = [
+    *((f, "rank_score >= 1", "'no other service departs further from its usual values'") for f in ("rel_max", "rank_score", "log_max")),
+    ("log_resource", "exp(log_resource) - 1 > 3", f"'CPU, memory or disk of the service itself are ' || {_ODD.format('log_resource')} || ' deviations off'"),
+    ("log_trace_local", "exp(log_trace_local) - 1 > 3", "'spans show that time or errors arise in the service and not in what it calls'"),
+    ("log_logs", "exp(log_logs) - 1 > 3", "'it logs more errors than before'"),
+    ("onset_lead", "has_onset > 0 AND onset_lead >= 1", "'nothing else became anomalous earlier'"),
+    ("walk", "walk >= 0.99", "'following anomalies along calls leads here most often'"),
+    ("upstream_anomalous", "upstream_anomalous > 0", f"{_SHARE.format('upstream_anomalous')} || ' of its direct and indirect callers are anomalous'"),
+    ("frac_silent", "frac_silent >= 0.5", f"{_SHARE.format('frac_silent')} || ' of its series have fallen silent'"),
+    ("frac_anomalous", "frac_anomalous >= 0.5", f"{_SHARE.format('frac_anomalous')} || ' of its series are anomalous'"),
+]
+_SAID = " UNION ALL ".join(
+    f"SELECT service, {words} AS text, ({ork.HEURISTIC[f]!r}e0) * {f} AS w FROM fe WHERE {when} AND ({ork.HEURISTIC[f]!r}e0) * {f} > 0.05" for f, when, words in _STATEMENTS
+)
+_REASONS = f"""t1 AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY mx DESC, name) AS position FROM sc),
+    said AS ({_SAID} UNION ALL SELECT service, name || ' [' || category || '] went ' || CASE WHEN peak_value >= reference_median THEN 'up' ELSE 'down' END || ' from ' || {_digits("reference_median")} || ' to ' || {_digits("peak_value")}
+        || printf(', %.1f robust deviations', mx) || {_ONSET}, 1e300 FROM t1 WHERE position = 1 AND mx > 3
+        UNION ALL SELECT service, 'it is slow, and no service that it calls is anomalous enough to be the cause', -1 FROM fe WHERE in_graph > 0 AND callee_explained < 0.25 AND exp(log_latency) - 1 > 3),
+    once AS (SELECT service, text, max(w) AS w FROM said GROUP BY 1, 2), five AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY w DESC, text) AS k FROM once QUALIFY k <= 5),
+    why AS (SELECT service, string_agg(text, '; ' ORDER BY k) AS reasons FROM five GROUP BY 1), ns AS (SELECT service, count(*) AS n FROM t1 WHERE position <= 5 GROUP BY 1)"""
+
+
+@query(
+    "rca_reasons", ["series", "graph"],
+    f"""{FEATURES_SQL}, {_HEUR}, {_REASONS} SELECT incident, rank, service, {r('score')} AS score, {r('ex / (SELECT sum(ex) FROM sr)')} AS probability, coalesce(n, 0) AS n_signals, coalesce(reasons, '') AS reasons
+    FROM sr LEFT JOIN ns USING (service) LEFT JOIN why USING (service) WHERE rank <= 20""",
+    recursive=True,
+)
 def rca_reasons(series, graph):
+    """The analysis from end to end."""
     out = oa.analyze(_incident(series), _on_graph(graph))
-    return out.select("incident", "rank", "service", "score", "probability", F.size("signals").alias("n_signals"), F.array_join("reasons", "; ").alias("reasons"))
+    n = F.coalesce(F.size("signals"), F.lit(0)).cast("long").alias("n_signals")
+    return out.select("incident", F.col("rank").cast("long"), "service", "score", "probability", F.greatest(n, F.lit(0)).alias("n_signals"), F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("random_walk", ["series", "graph"])
+@query("random_walk", ["series", "graph"], f"{FEATURES_SQL} SELECT incident, service, {r('walk')} AS walk FROM fe", recursive=True)
 def random_walk(series, graph):
-    f, _ = oa.service_features(_incident(series), _on_graph(graph))
+    f, _ = _features(series, graph)
     return f.select("incident", "service", "walk")
 
 
