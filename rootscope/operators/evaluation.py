@@ -130,17 +130,22 @@ def cross_validated(feats: DataFrame, truth: str, fold: str, grid: tuple[float,
     from .ranking import linear
 
     folds = [r[0] for r in feats.select(fold).distinct().orderBy(fold).collect()]  # named systems
+    w = Window.partitionBy("incident").orderBy(F.desc("score"), "service")
+
+    def quality(m: dict, held: DataFrame) -> DataFrame:
+        placed = linear(held, m).withColumn("rank", F.row_number().over(w)).filter(truth)
+        return placed.select((1.0 / F.col("rank")).alias("rr"))
+
     out = []
     for f in folds:
         rest, test = feats.filter(F.col(fold) != f), feats.filter(F.col(fold) == f)
         inner = [x for x in folds if x != f]
-        best, how = grid[0], None
+        found: list[tuple[float, float]] = []
         for l2 in grid if len(inner) > 1 else ():
-            hold = inner[0]
-            m = fit(rest.filter(F.col(fold) != hold), truth, l2, rounds=rounds)
-            w = Window.partitionBy("incident").orderBy(F.desc("score"), "service")
-            got = linear(rest.filter(F.col(fold) == hold), m).withColumn("rank", F.row_number().over(w)).filter(truth).agg(F.avg(1.0 / F.col("rank"))).first()[0]
-            if got is not None and (how is None or got > how):
-                best, how = l2, got
+            # Each inner fold is left out once; the penalty's worth is the mean over all their cases.
+            parts = [quality(fit(rest.filter(F.col(fold) != x), truth, l2, rounds=rounds), rest.filter(F.col(fold) == x)) for x in inner]
+            got = reduce(DataFrame.union, parts).agg(F.avg("rr")).first()[0]
+            found.append((-1.0 if got is None else got, -l2))
+        best = -max(found)[1] if found else grid[0]
         out.append(linear(test, fit(rest, truth, best, rounds=rounds)).select("incident", "service", "score", truth, fold))
     return reduce(DataFrame.unionByName, out)

@@ -83,13 +83,16 @@ INCIDENT = (
 )
 
 
-def incidents(anomalies: DataFrame, windows: DataFrame, resolution: int, cfg: IncidentConfig = IncidentConfig()) -> DataFrame:
+def incidents(anomalies: DataFrame, windows: DataFrame, resolution: int, cfg: IncidentConfig = IncidentConfig(), deployment: str | None = None) -> DataFrame:
     """The incidents that these windows give. A deployment has one open incident at a time, so its windows fold in order.
 
+    deployment: a column of anomalies that names it, and a task's share of the work; without it, all are of one.
+
     windows: win, all of them, as quiet ones resolve incidents; only windows with anomalies and the bounds of quiet
     stretches reach the fold, so its input grows with anomalies, not with time.
     """
-    a = anomalies.groupBy("win").agg(
+    anomalies = anomalies.withColumn("deployment", F.lit("") if deployment is None else F.col(deployment))
+    a = anomalies.groupBy("deployment", "win").agg(
         F.map_from_entries(F.collect_list(F.struct("service", F.struct("onset", "surprise")))).alias("services"), F.bool_or("user_facing").alias("user_facing")
     )
     last = windows.agg(F.max("win").alias("last"))
@@ -118,4 +121,4 @@ def incidents(anomalies: DataFrame, windows: DataFrame, resolution: int, cfg: In
         out["resolved"] = out["resolved"].astype("Int64")
         return out
 
-    return rows.withColumn("deployment", F.lit(0)).groupBy("deployment").applyInPandas(run, INCIDENT)
+    return rows.groupBy("deployment").applyInPandas(run, INCIDENT)

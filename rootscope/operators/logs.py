@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,26 +70,31 @@ class Miner:
         return t
 
 
+MINED = "service string, ts_us long, body string, template_id long, template string, first_seen long"
+
+
 def mined(lines: DataFrame, **options) -> DataFrame:
     """lines: service, ts_us, body. Each line's template as it stood then, mined by service in the order of time.
 
-    The order decides, so a service's lines fold in one task; its state is bounded, and Arrow batches pass through it.
+    The order decides, so a service's lines fold in one task; sorted Arrow batches pass through it, and its state is bounded.
     """
     from ..functions.logs import masked
 
-    rows = lines.select("service", "ts_us", "body", masked(F.col("body")).alias("words"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, miner = None, None
+        for b in batches:
+            rows = []
+            for service, ts, body, words in zip(*(b.column(c).to_pylist() for c in ("service", "ts_us", "body", "words"))):
+                if miner is None or service != of:
+                    of, miner = service, Miner(**options)
+                t = miner.add(words or [], ts)
+                rows.append((service, ts, body, t.id, " ".join(t.words), t.first_seen))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MINED.split(", ")])
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ts_us", "body"], ignore_index=True)
-        miner = Miner(**options)
-        found = [miner.add(list(w), t) for w, t in zip(f["words"], f["ts_us"])]
-        out = f[["service", "ts_us", "body"]].copy()
-        out["template_id"] = [t.id for t in found]
-        out["template"] = [" ".join(t.words) for t in found]
-        out["first_seen"] = [t.first_seen for t in found]
-        return out
-
-    return rows.groupBy("service").applyInPandas(run, "service string, ts_us long, body string, template_id long, template string, first_seen long")
+    rows = lines.select("service", "ts_us", "body", masked(F.col("body")).alias("words"))
+    return rows.repartition("service").sortWithinPartitions("service", "ts_us", "body").mapInArrow(run, MINED)
 
 
 def catalogue(mined_: DataFrame) -> DataFrame:

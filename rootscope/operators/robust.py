@@ -32,12 +32,18 @@ def summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
 
 
 def merged_moments(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Partial (n, mean, m2) rows of the same keys as one, whatever the order."""
-    total = df.groupBy(*keys).agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
-        F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("__s"),
+    """Partial (n, mean, m2) rows of the same keys as one, whatever the order.
+
+    Sums are of differences from a value near the means, the least of them, so that large means lose no digits.
+    """
+    near = df.groupBy(*keys).agg(F.min("mean").alias("__near"))
+    d = df.join(near, keys).withColumn("__d", F.col("mean") - F.col("__near"))
+    total = d.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.min("__near").alias("__near"), (F.sum(F.col("n") * F.col("__d")) / F.sum("n")).alias("__d"),
+        F.sum(F.col("m2") + F.col("n") * F.col("__d") * F.col("__d")).alias("__s"),
     )
-    return total.select(*keys, "n", "mean", ((F.col("__s") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1)).alias("variance"))
+    variance = (F.col("__s") - F.col("n") * F.col("__d") * F.col("__d")) / (F.col("n") - 1)
+    return total.select(*keys, "n", (F.col("__near") + F.col("__d")).alias("mean"), variance.alias("variance"))
 
 
 def moments(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

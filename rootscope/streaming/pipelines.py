@@ -42,11 +42,11 @@ def log_windows(lines: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFra
     return w.agg(F.count("*").alias("lines"), F.count_if(F.col("severity") == "error").alias("errors")).select(F.unix_micros("w.start").alias("start_us"), "service", "lines", "errors")
 
 
-def traces(spans: DataFrame, cfg: EngineConfig = EngineConfig(), most: int = 10_000) -> DataFrame:
-    """Traces released after they were idle: trace_id and its spans, at most `most` of one trace."""
+def traces(spans: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Traces released after they were idle: trace_id and all of its spans."""
     s = spans.withColumn("ts", F.timestamp_micros(F.expr("end_ns div 1000"))).withWatermark("ts", _interval(cfg.lateness))
     g = s.groupBy(F.session_window("ts", _interval(cfg.trace_timeout)), "trace_id")
-    return g.agg(F.slice(F.collect_list(F.struct(*(c for c in spans.columns if c != "trace_id"))), 1, most).alias("spans")).select("trace_id", "spans")
+    return g.agg(F.collect_list(F.struct(*(c for c in spans.columns if c != "trace_id"))).alias("spans")).select("trace_id", "spans")
 
 
 def exploded(assembled: DataFrame) -> DataFrame:
@@ -110,17 +110,20 @@ def run_available(stream: DataFrame, checkpoint: str, name: str) -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "seq"):
-    """Keep the last row of each key in a table of versions: each batch writes a new one."""
+    """Keep the last row of each key in a table of versions: each batch writes a new one from the newest before it."""
     from ..sources.sinks import upserted
+    from ..tables import file_system
+
+    def before(spark, number: int) -> int | None:
+        fs, folder = file_system(spark, path)
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(file_system(spark, f"{path}/{n}/_SUCCESS")[1])]
+        return max((n for n in done if n < number), default=None)
 
     def write(batch: DataFrame, number: int) -> None:
-        old = f"{path}/v{number - 1}"
-        try:
-            merged = upserted(batch.sparkSession.read.parquet(old), batch, key, order)
-        except Exception as e:  # the first batch has no earlier version
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            merged = upserted(batch.limit(0), batch, key, order)
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark = batch.sparkSession
+        was = before(spark, number)
+        old = batch.limit(0) if was is None else spark.read.schema(batch.schema).parquet(f"{path}/v{was}")
+        upserted(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
