@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import file_system, shared_dir, stored, unique_name  # noqa: F401
+
 #: A-Z to a-z and every other byte but 0-9, a-z and non-ASCII to a space: splitting then gives the
 #: words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of a lower-cased text.
 ALNUM = bytes(
@@ -21,58 +19,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), one in /tmp is set for the session."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"file:///tmp/rootscope-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-        _path(spark, path)[0].deleteOnExit(_path(spark, path)[1])
-    return path.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again, so that no executor's loss repeats its work.
-
-    The folder is deleted when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # The table takes the place of the shuffles that made it: their files go when it is written.
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
-    fs, p = _path(spark, path)
-    fs.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unique_name(df: DataFrame, wanted: str) -> str:
-    """wanted, lengthened until it clashes with no column of df."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
-def texts_of(column: pa.Array) -> list[bytes | None]:
-    """The UTF-8 bytes of each value, without making Python strings of them."""
-    return column.cast(pa.binary()).to_pylist()

@@ -2,22 +2,22 @@
 
 A plan cuts each document into units, each with a 64-bit key that depends on its content alone, so that
 equal strings lie in units of equal keys (for windows: the least hash of the grams in a window is the
-window's key, and a unit is a run of windows with one key). The search has four steps.
+window's key, and a unit is a run of windows with one key). The search has three steps.
 
 1. Keys. A task finds which keys several of its own documents have; of every key one document at most goes
-   on to the key's bucket, so a key that a third of all documents have costs a bucket one entry per task.
-   Buckets hold sorted 48-bit keys and document ids as packed arrays. A run that later batches meet also has
-   the key's other documents, as their windows may differ.
+   on to the key's bucket, with the number of its documents, so a key that a third of all documents have
+   costs a bucket one entry per task. Buckets hold sorted 48-bit keys, counts and document ids as packed arrays.
+   A run that later batches meet also has the key's other documents, as their windows may differ.
 2. Units. Documents meet the lists of their shared keys. A task compares the contents of its units: a
-   content's later holders are marked in full at once, and its first holder goes on, with the content.
-   A key with more than MANY contents in a task is cut to single windows, each with a key of its own.
-3. Keys again. Equal contents keep their first holder. Where a key has several contents, the plan's resolver
-   finds the windows of one that occur in another of an earlier document. More than MANY contents, or a key
-   that some task has cut, go on as single windows.
-4. Windows. Equal windows keep their first holder, the others' are marked.
-
-All comparisons are of bytes; hashes only bring candidates together. Documents are joined by sort and merge at
-any size, so that a small input takes the same way as a large one.
+   content's later holders are marked in full at once, and its first holder goes on, with the content, to the
+   bucket of its key. A key of more than HOT documents (by the counts of step 1) is split: its units are
+   cut into single windows, each with a key of its own, so no bucket gets all contents of such a key.
+3. Contents. In a bucket, equal contents keep their first holder. Where a key has several contents, the
+   plan's resolver finds the windows of one that occur in another of an earlier document.
+
+What goes from step to step is packed in rows of arrays, one per task and bucket; marks go to buckets of
+documents, where each document's spans are joined. All comparisons are of bytes; hashes only bring candidates
+together. Documents are joined by sort and merge at any size, so that a small input takes the same way as a large one.
 """
 
 from __future__ import annotations
@@ -32,15 +32,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import shuffle_partitions, stored, unique_name
 
-#: Units of a task's keys that are compared at once; bytes and units of its contents; contents of one key; bytes for a resolver.
-KEYS_AT_ONCE, UNITS_AT_ONCE, MANY, RESOLVE_BYTES, CHUNK = 1 << 20, 150_000, 512, 1 << 19, 1 << 20
+#: Units of a task's keys that are compared at once; units of its contents; bytes for a resolver; bytes of text.
+KEYS_AT_ONCE, UNITS_AT_ONCE, RESOLVE_BYTES, CHUNK = 1 << 20, 150_000, 1 << 21, 1 << 20
+#: Documents of a key that is split; such keys are HOT_KEYS at most, as a key must also have that share of all units.
+HOT, HOT_KEYS = 50_000, 1 << 21
 PARTS_PER_TASK = 8
-KEYS, LOCAL, RUN, MORE = 0, 1, 2, 3
-MARK, CUT, UNIT, ONE = 0, 1, 2, 3
+KEYS, LOCAL, RUN, MORE, FREQUENT, TOTAL = 0, 1, 2, 3, 4, 5
+MARK, UNIT = 0, 1
 KEY_SCHEMA = "kind int, bucket int, doc_id long, keys binary"
-UNIT_SCHEMA = "kind int, key long, doc_id long, th long, at binary, content binary"
+UNIT_SCHEMA = "kind int, bucket int, held binary"
 
 
 class Units:
@@ -111,12 +113,12 @@ def _from_five(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def encode(low: np.ndarray, several: np.ndarray, docs: np.ndarray) -> bytes:
-    """Sorted low key bits, whether several documents have each, and a document."""
+def encode(low: np.ndarray, many: np.ndarray, docs: np.ndarray) -> bytes:
+    """Sorted low key bits, how many documents have each, and a document."""
     base = int(docs.min()) if len(docs) else 0
     rest = (docs - base).astype("<u8")
     wide = 8 if len(rest) and int(rest.max()) >> 32 else 4
-    packed = zstandard.ZstdCompressor(level=1).compress(rest.astype(f"<u{wide}").tobytes() + several.astype(np.uint8).tobytes())
+    packed = zstandard.ZstdCompressor(level=1).compress(rest.astype(f"<u{wide}").tobytes() + many.astype("<u4").tobytes())
     return np.array([len(low), base, wide], "<i8").tobytes() + _five(low) + packed
 
 
@@ -124,7 +126,7 @@ def decode(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, base, wide = (int(x) for x in np.frombuffer(b[:24], "<i8"))
     rest = zstandard.ZstdDecompressor().decompress(b[24 + 5 * n :])
     docs = np.frombuffer(rest[: wide * n], f"<u{wide}").astype(np.int64) + base
-    return _from_five(b[24 : 24 + 5 * n]), np.frombuffer(rest[wide * n :], np.uint8).astype(bool), docs
+    return _from_five(b[24 : 24 + 5 * n]), np.frombuffer(rest[wide * n :], "<u4").astype(np.int64), docs
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -198,28 +200,32 @@ def _keys(plan, buckets: int, column: str, keep_run: bool):
         n = np.diff(first, append=len(low))
         local = np.repeat(n > 1, n)
         rows = by_document(doc[local], (bucket[local].astype(np.uint64) << np.uint64(40)) | low[local], buckets)
-        rows += by_bucket(KEYS, bucket[first], low[first], n > 1, doc[first])
+        rows += by_bucket(KEYS, bucket[first], low[first], n, doc[first])
         if keep_run:
-            rows += by_bucket(MORE, bucket[~new], low[~new], local[~new], doc[~new])
+            rows += by_bucket(MORE, bucket[~new], low[~new], np.zeros(int((~new).sum()), np.int64), doc[~new])
         return rows
 
     return run
 
 
-def by_bucket(kind: int, bucket: np.ndarray, low: np.ndarray, several: np.ndarray, doc: np.ndarray) -> list[tuple]:
+def by_bucket(kind: int, bucket: np.ndarray, low: np.ndarray, many: np.ndarray, doc: np.ndarray) -> list[tuple]:
     """Sorted keys with documents, packed by bucket, in rows of limited size."""
     if not len(bucket):
         return []
     cut = np.flatnonzero(np.diff(bucket)) + 1
     cut = sorted({0, *cut.tolist(), *range(0, len(bucket), KEYS_AT_ONCE), len(bucket)})
-    return [(kind, int(bucket[i]), None, encode(low[i:j], several[i:j], doc[i:j])) for i, j in zip(cut, cut[1:])]
+    return [(kind, int(bucket[i]), None, encode(low[i:j], many[i:j], doc[i:j])) for i, j in zip(cut, cut[1:])]
+
+
+def home_of(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def by_document(doc: np.ndarray, key: np.ndarray, buckets: int) -> list[tuple]:
     """Documents with keys, packed by bucket of documents."""
     if not len(doc):
         return []
-    home = ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+    home = home_of(doc, buckets)
     order = np.lexsort((key, doc, home))
     home, doc, key = home[order], doc[order], key[order].astype("<u8")
     cut = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(doc)]
@@ -242,7 +248,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]]), pa.array(held, pa.list_(pa.binary()))], names=["doc_id", "keys"])
 
 
-def _met(buckets: int, keep_run: bool):
+def _met(buckets: int, keep_run: bool, hot: int):
     """Merge-join a batch's sorted keys of each bucket with one another and with those of earlier runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +263,13 @@ def _met(buckets: int, keep_run: bool):
                     (new if kind == KEYS else old).setdefault(bucket, []).append(keys)
             if rest:
                 yield _batch(rest, KEY_SCHEMA)
-        found_docs, found_keys, size = [], [], 0
+        found_docs, found_keys, size, total = [], [], 0, 0
+        frequent: list[tuple] = []
         for bucket in sorted(new.keys() | old.keys()):
-            low, several, doc = (np.concatenate(x) for x in zip(*map(decode, new.pop(bucket, []) or [encode(*_NOTHING)])))
+            top = np.uint64(bucket) << np.uint64(40)
+            low, many, doc = (np.concatenate(x) for x in zip(*map(decode, new.pop(bucket, []) or [encode(*_NOTHING)])))
             order = np.lexsort((doc, low))
-            low, several, doc = low[order], several[order], doc[order]
+            low, many, doc = low[order], many[order], doc[order]
             hit = _repeated(low, doc)
             was = [decode(r) for r in old.pop(bucket, [])]
             for k, _, d in was:  # each a sorted, immutable run
@@ -270,22 +278,31 @@ def _met(buckets: int, keep_run: bool):
                 hit |= k[at] == low if len(k) else False
                 mine = np.isin(k, low)
                 found_docs.append(d[mine])
-                found_keys.append((np.uint64(bucket) << np.uint64(40)) | k[mine])
+                found_keys.append(top | k[mine])
             found_docs.append(doc[hit])
-            found_keys.append((np.uint64(bucket) << np.uint64(40)) | low[hit])
+            found_keys.append(top | low[hit])
             size += sum(map(len, found_docs[-1 - len(was) :]))
             if keep_run and len(low):
-                yield _batch([(RUN, bucket, None, encode(low, several, doc))], KEY_SCHEMA)
+                yield _batch([(RUN, bucket, None, encode(low, many, doc))], KEY_SCHEMA)
+            counts = [(low, many), *((k[m := np.isin(k, low)], n[m]) for k, n, _ in was)]
+            every, n = (np.concatenate(x) for x in zip(*counts))
+            total += int(n.sum())
+            order = np.argsort(every)
+            first = np.flatnonzero(np.diff(every[order], prepend=every[order][:1] + np.uint64(1)))
+            n = np.add.reduceat(n[order], first) if len(first) else n[:0]
+            for i in np.flatnonzero(n > hot).tolist():
+                frequent.append((FREQUENT, bucket, int(n[i]), int(top | every[order][first[i]]).to_bytes(8, "little")))
             if size > KEYS_AT_ONCE:
                 yield _batch(by_document(np.concatenate(found_docs), np.concatenate(found_keys), buckets), KEY_SCHEMA)
                 found_docs, found_keys, size = [], [], 0
         if found_docs:
             yield _batch(by_document(np.concatenate(found_docs), np.concatenate(found_keys), buckets), KEY_SCHEMA)
+        yield _batch([*frequent, (TOTAL, 0, total, b"")], KEY_SCHEMA)
 
     return run
 
 
-_NOTHING = (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64))
+_NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _repeated(low: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -301,24 +318,36 @@ def n_buckets(spark) -> int:
     return PARTS_PER_TASK * shuffle_partitions(spark)
 
 
-def shared_keys(docs: DataFrame, plan, buckets: int, column: str, earlier: DataFrame | None = None, keep_run: bool = False) -> DataFrame:
-    """KEY_SCHEMA: LOCAL rows with a document's shared keys, and RUN rows, the batch's own sorted keys by bucket."""
+def shared_keys(
+    docs: DataFrame, plan, buckets: int, column: str, earlier: DataFrame | None = None, keep_run: bool = False, hot: int = HOT
+) -> DataFrame:
+    """KEY_SCHEMA: LOCAL rows with a document's shared keys, RUN rows, the batch's own sorted keys by bucket, and FREQUENT keys."""
     known = docs.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
     rows = known.select("doc_id", F.col(column).cast("binary").alias(column)).mapInArrow(_keys(plan, buckets, column, keep_run), KEY_SCHEMA)
     if earlier is not None:
         rows = rows.union(earlier.select("kind", "bucket", "doc_id", "keys"))
-    return rows.repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInArrow(_met(buckets, keep_run), KEY_SCHEMA)
+    return rows.repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInArrow(_met(buckets, keep_run, hot), KEY_SCHEMA)
+
+
+def hot_keys(rows: DataFrame, least: int = HOT, most: int = HOT_KEYS) -> np.ndarray:
+    """Of shared_keys() that is stored: keys of more than `least` documents and of more than a part in `most` of all units.
+
+    So there are `most` at most, whatever the input.
+    """
+    total = rows.filter(F.col("kind") == TOTAL).agg(F.sum("doc_id")).first()[0] or 0
+    found = rows.filter((F.col("kind") == FREQUENT) & (F.col("doc_id") > max(least, total // most))).select("keys").collect()
+    return np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in found), "<u8"))
 
 
 class Holders:
     """First holders of contents; what later ones hold becomes marks."""
 
-    def __init__(self, plan):
-        self.plan = plan
-        self.marks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    def __init__(self, plan, buckets: int):
+        self.plan, self.buckets = plan, buckets
+        self.marks: list[tuple[int, int, int, int]] = []
 
     def mark(self, doc: int, th: int, starts, length: int) -> None:
-        self.marks.setdefault((doc, th), []).extend((s, s + length) for s in starts)
+        self.marks.extend([(doc, th, s, s + length) for s in starts])
 
     def put(self, held: dict, content: bytes, doc: int, th: int, starts: list[int]) -> None:
         """held: content to [document, {text hash: starts}]."""
@@ -346,14 +375,44 @@ class Holders:
             if (e, u, x) != every[0]:
                 # What the first holder itself covers stays.
                 a = max(x, s + n) if (e, u) == (d, t) else x
-                self.marks.setdefault((e, u), []).append((a, x + n))
+                self.marks.append((e, u, a, x + n))
 
     def rows(self) -> list[tuple]:
-        out = [(MARK, hash((d, t)), d, t, np.array(joined(s), "<i4").tobytes(), None) for (d, t), s in self.marks.items()]
-        self.marks = {}
+        """Marks so far, packed by bucket of documents."""
+        out = by_home(*np.array(self.marks, np.int64).reshape(-1, 4).T, self.buckets)
+        self.marks = []
         return out
 
 
+def by_home(doc: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> list[tuple]:
+    doc, th, a, b = merged(doc, th, a, b)
+    if not len(doc):
+        return []
+    home = home_of(doc, buckets)
+    order = np.argsort(home, kind="stable")
+    home, doc, th, a, b = home[order], doc[order], th[order], a[order], b[order]
+    cut = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(doc)]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    parts = lambda i, j: b"".join([doc[i:j].tobytes(), th[i:j].tobytes(), a[i:j].astype("<i4").tobytes(), b[i:j].astype("<i4").tobytes()])
+    return [(MARK, int(home[i]), pack(parts(i, j))) for i, j in zip(cut, cut[1:])]
+
+
+def merged(doc: np.ndarray, th: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Spans of each document and text sorted, overlapping or touching ones made one."""
+    some = b > a
+    doc, th, a, b = doc[some], th[some], a[some], b[some]
+    order = np.lexsort((a, th, doc))
+    doc, th, a, b = doc[order], th[order], a[order], b[order]
+    if not len(doc):
+        return doc, th, a, b
+    group = np.cumsum((np.diff(doc, prepend=doc[0]) != 0) | (np.diff(th, prepend=th[0]) != 0))
+    reach = np.maximum.accumulate(b + (group << 33)) - (group << 33)
+    new = np.ones(len(a), bool)
+    new[1:] = (group[1:] != group[:-1]) | (a[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], th[first], a[first], np.maximum.reduceat(b, first)
+
+
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted, overlapping or touching ones made one."""
     out: list[tuple[int, int]] = []
@@ -366,28 +425,57 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _starts(held: dict) -> Iterator[tuple]:
-    for content, (doc, by) in held.items():
-        for th, starts in by.items():
-            yield content, doc, th, starts
-
-
-def _sent(kind: int, key: int, content: bytes, doc: int, th: int, starts: list[int]) -> tuple:
-    return kind, key, doc, th, np.array(starts, "<i4").tobytes(), content
+class Packed:
+    """First holders of contents on their way to the buckets of their keys."""
 
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.rest: list[tuple[int, int, int, list[int], bytes]] = []
 
-def _signed(k: int) -> int:
-    return k - (1 << 64) if k >> 63 else k
+    def add(self, key: int, contents: dict) -> None:
+        for content, (doc, by) in contents.items():
+            for th, starts in by.items():
+                self.rest.append((key, doc, th, starts, content))
 
-
-def _cut(plan, holders: Holders, windows: dict, contents: dict) -> None:
-    for content, doc, th, starts in _starts(contents):
-        for i, w in plan.windows(content):
-            holders.put(windows, w, doc, th, [s + i for s in starts])
+    def rows(self) -> list[tuple]:
+        if not self.rest:
+            return []
+        key, doc, th, starts, content = zip(*self.rest)
+        self.rest = []
+        key = np.array(key, np.uint64)
+        bucket = bucket_of(key, self.buckets)
+        order = np.lexsort((key, bucket))
+        cut = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+        doc, th = np.array(doc, np.int64), np.array(th, np.int64)
+        n, size = np.array([len(s) for s in starts], "<i4"), np.array([len(c) for c in content], "<i4")
+        pack = zstandard.ZstdCompressor(level=1).compress
+        out = []
+        for i, j in zip(cut, cut[1:]):
+            own = order[i:j]
+            which = own.tolist()
+            flat = np.array([x for k in which for x in starts[k]], "<i4")
+            head = np.array([len(own), len(flat)], "<i4").tobytes()
+            arrays = (key[own], doc[own], th[own], n[own], size[own], flat)
+            out.append((UNIT, int(bucket[own[0]]), pack(b"".join([head, *(x.tobytes() for x in arrays), *(content[k] for k in which)]))))
+        return out
 
 
-def _ones(windows: dict) -> list[tuple]:
-    return [_sent(ONE, _signed(xxhash.xxh64_intdigest(c)), c, d, t, s) for c, d, t, s in _starts(windows)]
+def _unpacked(x: bytes) -> tuple[np.ndarray, list[int], list[int], list[list[int]], list[bytes]]:
+    x = zstandard.ZstdDecompressor().decompress(x)
+    m, f = (int(v) for v in np.frombuffer(x, "<i4", 2))
+    at = 8
+    arrays = []
+    for kind, k in (("<u8", m), ("<i8", m), ("<i8", m), ("<i4", m), ("<i4", m), ("<i4", f)):
+        a = np.frombuffer(x, kind, k, at)
+        at += a.nbytes
+        arrays.append(a)
+    key, doc, th, n, size, flat = arrays
+    ends = np.cumsum(size, dtype=np.int64) + at
+    cut = np.cumsum(n, dtype=np.int64)
+    flat = flat.tolist()
+    contents = [x[e - s : e] for e, s in zip(ends.tolist(), size.tolist())]
+    starts = [flat[e - s : e] for e, s in zip(cut.tolist(), n.tolist())]
+    return key, doc.tolist(), th.tolist(), starts, contents
 
 
 def _uncollected(run):
@@ -405,24 +493,32 @@ def _uncollected(run):
     return inner
 
 
-def _units(plan, buckets: int):
+def _units(plan, buckets: int, hot):
+    """hot: a broadcast array of keys to be split, or None."""
+
     @_uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holders = Holders(plan)
+        holders, packed_ = Holders(plan, buckets), Packed(buckets)
+        split = hot.value if hot is not None and plan.cuts else np.zeros(0, np.uint64)
         held: dict[int, dict] = {}
         n = 0
 
         def out() -> list[tuple]:
-            rows, windows = [], {}
+            windows: dict = {}
+            own = np.fromiter(held, np.uint64, len(held))
+            cut = set(own[np.isin(short(own, buckets), split)].tolist())
             for key, contents in held.items():
-                if len(contents) > MANY and plan.cuts:
-                    rows.append((CUT, _signed(key), None, None, None, None))
-                    _cut(plan, holders, windows, contents)
-                else:
-                    rows += [_sent(UNIT, _signed(key), c, d, t, s) for c, d, t, s in _starts(contents)]
-            rows += _ones(windows) + holders.rows()
+                if key not in cut:
+                    packed_.add(key, contents)
+                    continue
+                for content, (doc, by) in contents.items():
+                    for th, starts in by.items():
+                        for i, w in plan.windows(content):
+                            holders.put(windows, w, doc, th, [s + i for s in starts])
+            for w, holder in windows.items():
+                packed_.add(xxhash.xxh64_intdigest(w), {w: holder})
             held.clear()
-            return rows
+            return packed_.rows() + holders.rows()
 
         for raw, (ids, ths, lists) in chunks(batches, "z", "doc_id", "th", "keys"):
             u = plan.units(raw)
@@ -443,86 +539,82 @@ def _units(plan, buckets: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
-    """Rows of equal keys together, from rows sorted by key."""
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Kind, bucket and what is held of rows sorted by kind and bucket."""
     from itertools import groupby
     from operator import itemgetter
 
     rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-    return groupby(rows, itemgetter(1))
-
-
-def _at(b: bytes) -> list[int]:
-    return np.frombuffer(b, "<i4").tolist()
+    for (kind, bucket), own in groupby(rows, itemgetter(0, 1)):
+        yield kind, bucket, [r[2] for r in own]
 
 
-def _contents(plan):
+def _contents(plan, buckets: int):
     @_uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holders, out = Holders(plan), []
+        holders = Holders(plan, buckets)
         waiting: list[list] = []
-        size = 0
 
         def resolve() -> None:
             if not waiting:
                 return
             for group, spans in zip(waiting, plan.resolve([[(c, d) for c, (d, _) in g] for g in waiting])):
-                for (content, (doc, by)), own in zip(group, spans):
-                    for th, starts in by.items():
-                        for a, b in own:
+                for (_, (doc, by)), own in zip(group, spans):
+                    for a, b in own:
+                        for th, starts in by.items():
                             holders.mark(doc, th, [s + a for s in starts], b - a)
             waiting.clear()
 
-        for _, rows in _groups(batches):
-            contents: dict = {}
-            windows: dict = {}
-            cut = False
-            for row in rows:
-                kind, _, doc, th, at, content = row
-                if kind == CUT:
-                    cut = True
-                if kind != UNIT:
-                    if kind != CUT:
-                        out.append(row)
-                    continue
-                holders.put(contents, content, doc, th, _at(at))
-                if plan.cuts and (cut or len(contents) > MANY):
-                    cut = True
-                    _cut(plan, holders, windows, contents)
-                    contents = {}
-                    if len(windows) > UNITS_AT_ONCE:
-                        yield _batch(_ones(windows) + holders.rows(), UNIT_SCHEMA)
-                        windows = {}
-            if windows:
-                out += _ones(windows)
-            elif len(contents) > 1 and plan.cuts:
-                waiting.append(sorted(contents.items(), key=lambda x: x[1][0]))
-                size += sum(map(len, contents))
-                if size > RESOLVE_BYTES:
-                    resolve()
-                    size = 0
-            if len(holders.marks) > 20_000 or len(out) > 20_000:
-                yield _batch(out + holders.rows(), UNIT_SCHEMA)
-                out = []
+        size = 0
+        for kind, bucket, held in _by_bucket(batches):
+            if kind == MARK:  # passes through, so that the units are made once
+                yield _batch([(kind, bucket, x) for x in held], UNIT_SCHEMA)
+                continue
+            parts = [_unpacked(x) for x in held]
+            held.clear()
+            key = np.concatenate([p[0] for p in parts])
+            rest = [[x for p in parts for x in p[k]] for k in range(1, 5)]
+            del parts
+            order = np.argsort(key, kind="stable")
+            for a, n in _runs(key[order]):
+                contents: dict = {}
+                for i in order[a : a + n].tolist():
+                    holders.put(contents, rest[3][i], rest[0][i], rest[1][i], rest[2][i])
+                if len(contents) > 1 and plan.cuts:
+                    waiting.append(sorted(contents.items(), key=lambda x: x[1][0]))
+                    size += sum(map(len, contents))
+                    if size > RESOLVE_BYTES:
+                        resolve()
+                        size = 0
+            if len(holders.marks) > UNITS_AT_ONCE:
+                yield _batch(holders.rows(), UNIT_SCHEMA)
         resolve()
-        yield _batch(out + holders.rows(), UNIT_SCHEMA)
+        yield _batch(holders.rows(), UNIT_SCHEMA)
 
     return run
 
 
-def _windows(plan):
-    @_uncollected
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holders = Holders(plan)
-        for _, rows in _groups(batches):
-            held: dict = {}
-            for _, _, doc, th, at, content in rows:
-                holders.put(held, content, doc, th, _at(at))
-            if len(holders.marks) > 20_000:
-                yield _batch(holders.rows(), UNIT_SCHEMA)
-        yield _batch(holders.rows(), UNIT_SCHEMA)
+def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Place and number of equal keys that stand together, where there are two or more."""
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(at, append=len(key))
+    yield from zip(at[n > 1].tolist(), n[n > 1].tolist())
 
-    return run
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for _, _, held in _by_bucket(batches):
+        parts = []
+        for x in map(unpack, held):
+            m = len(x) // 24
+            parts.append((np.frombuffer(x, "<i8", m), np.frombuffer(x, "<i8", m, 8 * m), np.frombuffer(x, "<i4", 2 * m, 16 * m)))
+        doc, th = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        a, b = (np.concatenate([np.split(p[2], 2)[k] for p in parts]).astype(np.int64) for k in (0, 1))
+        doc, th, a, b = merged(doc, th, a, b)
+        pairs = np.stack([a, b], 1).astype("<i4")
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
+        own = [pairs[i:j].tobytes() for i, j in zip(first.tolist(), [*first[1:].tolist(), len(doc)])]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(th[first]), pa.array(own, pa.binary())], names=["doc_id", "th", "spans"])
 
 
 def wanted_keys(lists: DataFrame) -> DataFrame:
@@ -532,27 +624,25 @@ def wanted_keys(lists: DataFrame) -> DataFrame:
     return packed_.mapInArrow(_lists, "doc_id long, keys array<binary>")
 
 
-def marks_of(docs: DataFrame, wanted: DataFrame, plan, buckets: int, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs: packed. wanted: keys by document. Returns doc_id, th and spans, a list of packed (start, end) pairs."""
-    return marks_from(docs.filter("z is not null").join(wanted.hint("merge"), list(on)).select("doc_id", "th", "z", "keys"), plan, buckets)
+def marks_of(docs: DataFrame, wanted: DataFrame, plan, buckets: int, hot: np.ndarray | None = None) -> DataFrame:
+    """docs: packed. wanted: keys by document. Returns doc_id, th and spans, packed (start, end) pairs, joined."""
+    rows = docs.filter("z is not null").join(wanted.hint("merge"), "doc_id").select("doc_id", "th", "z", "keys")
+    return marks_from(rows, plan, buckets, hot)
 
 
-def marks_from(rows: DataFrame, plan, buckets: int) -> DataFrame:
+def marks_from(rows: DataFrame, plan, buckets: int, hot: np.ndarray | None = None) -> DataFrame:
     """As marks_of, from rows that have their keys."""
     n = shuffle_partitions(rows.sparkSession)
-    units = rows.mapInArrow(_units(plan, buckets), UNIT_SCHEMA)
-    spread = lambda df: df.repartition(n, "key").sortWithinPartitions("key", "kind")
-    # Marks and windows pass through, so that the units are made once.
-    first = stored(spread(units).mapInArrow(_contents(plan), UNIT_SCHEMA), "contents")
-    marks = first.filter(F.col("kind") == MARK)
-    if plan.cuts:
-        marks = marks.union(spread(first.filter(F.col("kind") == ONE)).mapInArrow(_windows(plan), UNIT_SCHEMA))
-    return marks.groupBy("doc_id", "th").agg(F.collect_list("at").alias("spans"))
+    sent = rows.sparkSession.sparkContext.broadcast(hot) if hot is not None and len(hot) else None  # HOT_KEYS at most
+    units = rows.mapInArrow(_units(plan, buckets, sent), UNIT_SCHEMA)
+    spread = lambda df: df.repartition(n, "bucket").sortWithinPartitions("kind", "bucket")
+    found = spread(units).mapInArrow(_contents(plan, buckets), UNIT_SCHEMA)
+    return spread(found).mapInArrow(_spans, "doc_id long, th long, spans binary")
 
 
-def spans_of(lists: list[bytes] | None) -> list[tuple[int, int]]:
-    flat = [x for b in lists or () for x in _at(b)]
-    return joined(list(zip(flat[::2], flat[1::2])))
+def spans_of(packed_: bytes | None) -> list[tuple[int, int]]:
+    flat = np.frombuffer(packed_ or b"", "<i4").tolist()
+    return list(zip(flat[::2], flat[1::2]))
 
 
 def finished(docs: DataFrame, marks: DataFrame, figures, schema: str, text: str = "text") -> DataFrame:
@@ -578,12 +668,13 @@ def with_figures(rows: DataFrame, figures, schema: str, more: tuple[str, ...] =
 def rewritten(docs: DataFrame, marks: DataFrame, change, text: str = "text") -> DataFrame:
     """docs, all rows and columns, with text as change(text's bytes, spans) where there are spans."""
     names = docs.columns
-    m = marks.select(F.col("doc_id").alias("__m_id"), F.col("th").alias("__m_th"), F.col("spans").alias("__spans")).hint("merge")
-    out = docs.join(m, (docs["doc_id"] == m["__m_id"]) & (F.xxhash64(docs[text]) == m["__m_th"]), "left").select(*(docs[c] for c in names), "__spans")
+    held = unique_name(docs, "spans")
+    m = marks.select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), F.col("spans").alias(held)).hint("merge")
+    out = docs.join(m, (docs["doc_id"] == m["m_id"]) & (F.xxhash64(docs[text]) == m["m_th"]), "left").select(*(docs[c] for c in names), m[held])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column("__spans").to_pylist()
+            spans = b.column(held).to_pylist()
             raw = b.column(text).cast(pa.binary()).to_pylist()
             new = [x if not s or x is None else change(x, spans_of(s)) for x, s in zip(raw, spans)]
             columns = [pa.array(new, pa.binary()).cast(pa.string()) if c == text else b.column(c) for c in names]
