@@ -1,8 +1,8 @@
 """Traces: parent links, clock skew, service visits with local time, call edges, error origins.
 
-Everything is joins and windows but for one walk: the skew offsets and entry spans pass from parents
-to children, to any depth. It runs over a trace's spans together, in Arrow batches sorted by trace, so a
-task holds one trace at a time.
+The skew offsets and entry spans pass from parents to children, to any depth, and visits, calls and origins follow
+from them. One shuffle by trace and one pass over sorted Arrow batches give them all; a task holds one trace at a time.
+Links, orphans and unions of intervals are joins and windows.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import duration, is_outbound
-
 SPAN = ["trace_id", "span_id", "parent_id", "service", "operation", "kind", "start_ns", "end_ns", "status", "peer"]
 
 
@@ -77,72 +75,143 @@ def _moved(own, service, a, b, start, end, took, length) -> bool:
     return own != service and (a < start or b > end) and took <= length
 
 
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["trace_id", "span_id", "parent_id", "service", "start_ns", "end_ns"]
-    trace, held, ids, rows = None, [], [], []
-
-    def done():
-        rows.extend((t, s[0], *x) for t, s, x in zip(ids, held, walk(held)))
-        held.clear()
-        ids.clear()
+_ORDER = ["trace_id", "span_id", "start_ns", "service", "parent_id", "operation", "kind", "end_ns", "status", "peer"]
 
-    def batch():
-        t, s, o, e, r, m = zip(*rows) if rows else ([],) * 6
-        rows.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(t, pa.int64()), pa.array(s, pa.int64()), pa.array(o, pa.int64()), pa.array(e, pa.int64()), pa.array(r, pa.bool_()), pa.array(m, pa.bool_())],
-            names=["trace_id", "span_id", "offset_ns", "entry_id", "root", "moved"],
-        )
 
+def _by_trace(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Each trace and its spans (columns of _ORDER but the trace), of rows sorted by _ORDER; the first of each span id."""
+    trace, held = None, []
     for b in batches:
-        for t, *span in zip(*(b.column(n).to_pylist() for n in names)):
+        for t, *span in zip(*(b.column(n).to_pylist() for n in _ORDER)):
             if t != trace:
-                done()
-                trace = t
-                if len(rows) > 20_000:
-                    yield batch()
-            held.append(tuple(span))
-            ids.append(t)
-    done()
-    yield batch()
-
-
-def corrected(spans: DataFrame) -> DataFrame:
-    """Deduplicated spans with offset_ns, entry_id, root and moved; start_ns and end_ns moved by the offset."""
-    spans = deduplicated(spans)
-    sorted_ = spans.select("trace_id", "span_id", "parent_id", "service", "start_ns", "end_ns").repartition("trace_id").sortWithinPartitions("trace_id", "span_id")
-    found = sorted_.mapInArrow(_walked, "trace_id long, span_id long, offset_ns long, entry_id long, root boolean, moved boolean")
-    out = spans.join(found, ["trace_id", "span_id"])
-    return out.withColumns({"start_ns": F.col("start_ns") + F.col("offset_ns"), "end_ns": F.col("end_ns") + F.col("offset_ns")})
-
-
-def _children(spans: DataFrame) -> DataFrame:
-    """Each span that a root reaches with each of its children in other services."""
-    c = spans.filter("not root").select(
-        "trace_id", F.col("parent_id").alias("span_id"), F.col("span_id").alias("c_id"), F.col("service").alias("c_service"),
-        F.col("start_ns").alias("c_start"), F.col("end_ns").alias("c_end"), (F.col("status") == "error").alias("c_error"),
-    )
-    return spans.join(c, ["trace_id", "span_id"]).filter("c_service <> service")
+                if held:
+                    yield trace, held
+                trace, held = t, []
+            if not held or held[-1][0] != span[0]:
+                held.append(span)
+    if held:
+        yield trace, held
+
+
+def _traced(spans: DataFrame) -> DataFrame:
+    return spans.select(*_ORDER).repartition("trace_id").sortWithinPartitions(*_ORDER)
+
+
+def _flushed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+    rows.clear()
+    return out
+
+
+_OFFSETS = pa.schema([("trace_id", pa.int64()), ("span_id", pa.int64()), ("offset_ns", pa.int64()), ("entry_id", pa.int64()), ("root", pa.bool_()), ("moved", pa.bool_())])
+
+
+def offsets(spans: DataFrame) -> DataFrame:
+    """Of each deduplicated span: offset_ns, entry_id, root and whether it was moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for trace, held in _by_trace(batches):
+            found = walk([(s[0], s[3], s[2], s[1], s[6]) for s in held])
+            rows += [(trace, s[0], *x) for s, x in zip(held, found)]
+            if len(rows) > 20_000:
+                yield _flushed(rows, _OFFSETS)
+        yield _flushed(rows, _OFFSETS)
+
+    return _traced(spans).mapInArrow(run, "trace_id long, span_id long, offset_ns long, entry_id long, root boolean, moved boolean")
+
+
+def _union(intervals: list[tuple[int, int]]) -> int:
+    total, reached = 0, None
+    for a, b in sorted(intervals):
+        if b > a:
+            total += max(0, b - (a if reached is None else max(a, reached)))
+            reached = b if reached is None else max(reached, b)
+    return total
+
+
+def parts_of(held: list[tuple]) -> list[tuple]:
+    """Visits, calls and error origins of one trace's deduplicated spans, as rows of PARTS but the trace."""
+    outward = ("client", "producer")
+    place = walk([(s[0], s[3], s[2], s[1], s[6]) for s in held])
+    at = {s[0]: i for i, s in enumerate(held)}
+    below: dict[int, list[int]] = {}  # children that are named so, by their parent's id
+    for i, s in enumerate(held):
+        if s[3] and s[3] != s[0]:
+            below.setdefault(s[3], []).append(i)
+    moved = [(s[1] + x[0], s[6] + x[0]) for s, x in zip(held, place)]
+    rows, waits = [], {}
+    for i, (sid, _, service, _, operation, kind, _, status, peer) in enumerate(held):
+        (start, end), (_, entry, root, _) = moved[i], place[i]
+        near = below.get(sid, ())
+        if status == "error" and not any(held[c][7] == "error" for c in near):
+            answered = any(held[c][2] != service for c in near)
+            blamed = peer if kind in outward and peer and not answered else service
+            rows.append(("origin", sid, None, blamed, None, None, end, None, None, None, None, None))
+        if entry is None:
+            continue
+        cross = [c for c in near if not place[c][2] and place[c][1] is not None and held[c][2] != service]
+        if kind in outward:
+            callee = held[min(cross, key=lambda c: held[c][0])][2] if cross else None
+            failed = status == "error" or any(held[c][7] == "error" for c in cross)
+            calls = [(callee or peer, start, end, failed, callee is None)] if callee or peer else []
+        else:
+            calls = [(held[c][2], *moved[c], held[c][7] == "error", False) for c in cross]
+        lo, hi = moved[at[entry]]
+        for callee, a, b, failed, virtual in calls:
+            rows.append(("call", sid, entry, service, callee, a, b, max(0, b - a), None, failed, None, virtual))
+            waits.setdefault(entry, []).append((max(a, lo), min(b, hi)))
+    for i, (s, (_, entry, root, _)) in enumerate(zip(held, place)):
+        if entry == s[0]:
+            start, end = moved[i]
+            took = max(0, end - start)
+            local = max(0, took - _union(waits.get(entry, [])))
+            rows.append(("visit", s[0], entry, s[2], s[4], start, end, took, local, s[7] == "error", root, None))
+    return rows
+
+
+PARTS = (
+    "part string, trace_id long, span_id long, entry_id long, service string, other string, start_ns long, end_ns long, duration_ns long, "
+    "local_ns long, error boolean, root boolean, virtual boolean"
+)
+_PARTS = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in PARTS.split(", "))])
+
+
+def assembled(spans: DataFrame) -> DataFrame:
+    """Visits, calls and error origins of all traces, in one shuffle by trace and one pass; a task holds one trace at a time.
+
+    Store it where more than one of visits(), calls() and error_origins() is wanted.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for trace, held in _by_trace(batches):
+            rows += [(x[0], trace, *x[1:]) for x in parts_of(held)]
+            if len(rows) > 20_000:
+                yield _flushed(rows, _PARTS)
+        yield _flushed(rows, _PARTS)
 
-def calls(spans: DataFrame) -> DataFrame:
-    """spans: corrected. Each call that leaves a service: trace, entry span, caller, callee, the caller's wait, error, virtual."""
-    spans = spans.filter("entry_id is not null")
-    cross = _children(spans)
-    plain = cross.filter(~is_outbound(F.col("kind"))).select(
-        "trace_id", "entry_id", F.col("service").alias("caller"), F.col("c_service").alias("callee"), F.col("c_start").alias("start_ns"),
-        F.col("c_end").alias("end_ns"), F.col("c_error").alias("error"), F.lit(False).alias("virtual_callee"),
+    return _traced(spans).mapInArrow(run, PARTS)
+
+
+def calls(parts: DataFrame) -> DataFrame:
+    """Each call that leaves a service: trace, entry span, caller, callee, the caller's wait, error, virtual."""
+    return parts.filter("part = 'call'").select(
+        "trace_id", "entry_id", F.col("service").alias("caller"), F.col("other").alias("callee"), "start_ns", "end_ns", "error",
+        F.col("virtual").alias("virtual_callee"), "duration_ns",
     )
-    first = cross.filter(is_outbound(F.col("kind"))).groupBy("trace_id", "span_id").agg(
-        F.min_by("c_service", "c_id").alias("answered"), F.bool_or("c_error").alias("c_error")
+
+
+def visits(parts: DataFrame) -> DataFrame:
+    """Each entry into a service, with the time it was not waiting for others."""
+    return parts.filter("part = 'visit'").select(
+        "trace_id", "span_id", "service", F.col("other").alias("operation"), "end_ns", "duration_ns", "local_ns", "error", "root"
     )
-    out = spans.filter(is_outbound(F.col("kind"))).join(first, ["trace_id", "span_id"], "left")
-    out = out.withColumn("callee", F.coalesce("answered", F.nullif("peer", F.lit("")))).filter("callee is not null")
-    outbound = out.select(
-        "trace_id", "entry_id", F.col("service").alias("caller"), "callee", "start_ns", "end_ns",
-        ((F.col("status") == "error") | F.coalesce("c_error", F.lit(False))).alias("error"), F.col("answered").isNull().alias("virtual_callee"),
-    )
-    return plain.unionByName(outbound).withColumn("duration_ns", duration(F.col("start_ns"), F.col("end_ns")))
+
+
+def error_origins(parts: DataFrame) -> DataFrame:
+    """Failing spans without a failing child; an unanswered call blames its peer."""
+    return parts.filter("part = 'origin'").select("trace_id", "span_id", "service", "end_ns")
 
 
 def union_length(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -155,34 +224,3 @@ def union_length(df: DataFrame, keys: list[str], start: str, end: str) -> DataFr
         .groupBy(*keys)
         .agg(F.sum("__new").alias("length"))
     )
-
-
-def visits(spans: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """spans: corrected. Each entry into a service, with the time it was not waiting for others."""
-    edges = calls(spans) if edges is None else edges
-    entries = spans.filter("entry_id = span_id")
-    e = entries.select("trace_id", "entry_id", F.col("start_ns").alias("lo"), F.col("end_ns").alias("hi"))
-    inside = edges.join(e, ["trace_id", "entry_id"]).select(
-        "trace_id", "entry_id", F.greatest("start_ns", "lo").alias("a"), F.least("end_ns", "hi").alias("b")
-    )
-    waited = union_length(inside, ["trace_id", "entry_id"], "a", "b")
-    took = duration(F.col("start_ns"), F.col("end_ns"))
-    return entries.join(waited, ["trace_id", "entry_id"], "left").select(
-        "trace_id", "span_id", "service", "operation", "end_ns", took.alias("duration_ns"),
-        F.greatest(took - F.coalesce("length", F.lit(0)), F.lit(0).cast("long")).alias("local_ns"),
-        (F.col("status") == "error").alias("error"), "root",
-    )
-
-
-def error_origins(spans: DataFrame) -> DataFrame:
-    """spans: deduplicated or corrected. Failing spans without a failing child; an unanswered call blames its peer."""
-    child = spans.filter("parent_id <> 0 and parent_id <> span_id")
-    failing = child.filter("status = 'error'").select("trace_id", F.col("parent_id").alias("span_id"))
-    other = child.select(F.col("trace_id").alias("__t"), F.col("parent_id").alias("__p"), F.col("service").alias("__s"))
-    out = spans.filter("status = 'error'").join(failing, ["trace_id", "span_id"], "left_anti")
-    answered = out.join(
-        other, (F.col("trace_id") == F.col("__t")) & (F.col("span_id") == F.col("__p")) & (F.col("service") != F.col("__s")), "left_semi"
-    ).select("trace_id", "span_id", F.lit(True).alias("__answered"))
-    out = out.join(answered, ["trace_id", "span_id"], "left")
-    blame = is_outbound(F.col("kind")) & (F.col("peer") != "") & F.col("__answered").isNull()
-    return out.select("trace_id", "span_id", F.when(blame, F.col("peer")).otherwise(F.col("service")).alias("service"), "end_ns")

@@ -11,6 +11,7 @@ from ..operators import simulate as sim
 from ..operators import traces as ot
 from ..operators import windows as ow
 from ..sources import otlp_json, sinks
+from ..tables import stored
 from .common import query, r, rounded
 
 
@@ -85,19 +86,19 @@ def engine_counters(spans, metrics, logs):
     return sinks.counters(spans=spans, metrics=metrics, logs=logs)
 
 
-@query("feedback_list", ["ranks"], "SELECT case_id AS incident, dataset AS root_cause, rank AS recorded_at FROM ranks WHERE rank IS NOT NULL AND case_id < 500")
+@query("feedback_list", ["ranks"], "SELECT case_id AS incident, dataset AS root_cause, rank AS recorded_at FROM ranks WHERE rank IS NOT NULL")
 def feedback_list(ranks):
-    return sinks.feedback(ranks.filter("rank is not null and case_id < 500").select(F.col("case_id").alias("incident"), F.col("dataset").alias("root_cause"), F.col("rank").alias("recorded_at")))
+    return sinks.feedback(ranks.filter("rank is not null").select(F.col("case_id").alias("incident"), F.col("dataset").alias("root_cause"), F.col("rank").alias("recorded_at")))
 
 
 def sim_scenario(spark, sf_dir):
     """A CPU fault in a simulated shop: services ranked from its series."""
     out = sim.run(sim.shop(), [sim.parse_fault("cpu=8:payment@180s+60s")], 240, rate=2.0)
     spans, metrics = (spark.createDataFrame(out[k]) for k in ("spans", "metrics"))
-    c = ot.corrected(spans).persist()
-    calls = ot.calls(c).persist()
+    c = stored(ot.assembled(spans), "traces")
+    calls = ot.calls(c)
     res = 10_000_000_000
-    series = ow.trace_series(ot.visits(c, calls), calls, ot.error_origins(c), res).select("service", "name", "win", "value")
+    series = ow.trace_series(ot.visits(c), calls, ot.error_origins(c), res).select("service", "name", "win", "value")
     m = metrics.withColumn("agg", F.lit("level"))
     series = series.unionByName(ow.metric_windows(m, res // 1000).select("service", "name", "win", "value"))
     whole = ow.calendar(series, ["service", "name"]).withColumns({"incident": F.lit("sim"), "t_s": F.col("win") * 10 - 1_700_000_180})

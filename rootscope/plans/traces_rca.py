@@ -14,6 +14,7 @@ from ..operators import ranking as ork
 from ..operators import scores as os_
 from ..operators import traces as ot
 from ..operators import windows as ow
+from ..tables import stored
 from .common import case, query, r
 from .telemetry import CUSUM, SLIDING, SUMMARY, quantile_sql, G
 from ..functions import signals as fg
@@ -62,17 +63,17 @@ def orphan_spans(spans):
 
 @query("skew_offsets", ["spans"], f"WITH {TREE} SELECT t.trace_id, t.span_id, t.a - s.start_ns AS offset_ns, entry_id, root, moved FROM t JOIN spans s USING (trace_id, span_id)", recursive=True)
 def skew_offsets(spans):
-    return ot.corrected(spans).select("trace_id", "span_id", "offset_ns", "entry_id", "root", "moved")
+    return ot.offsets(spans).select("trace_id", "span_id", "offset_ns", "entry_id", "root", "moved")
 
 
 @query("call_edges", ["spans"], f"WITH {TREE}, {CALLS} SELECT trace_id, caller, callee, b AS end_ns, greatest(b - a, 0) AS duration_ns, error, virtual_callee FROM e", recursive=True)
 def call_edges(spans):
-    return ot.calls(ot.corrected(spans)).select("trace_id", "caller", "callee", "end_ns", "duration_ns", "error", "virtual_callee")
+    return ot.calls(ot.assembled(spans)).select("trace_id", "caller", "callee", "end_ns", "duration_ns", "error", "virtual_callee")
 
 
 @query("service_visits", ["spans"], f"WITH {TREE}, {CALLS}, {VISITS} SELECT * FROM v", recursive=True)
 def service_visits(spans):
-    return ot.visits(ot.corrected(spans)).drop("operation")
+    return ot.visits(ot.assembled(spans)).drop("operation")
 
 
 @query("interval_union", ["spans"], """WITH j AS (SELECT *, max(end_ns) OVER (PARTITION BY trace_id ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM spans WHERE end_ns > start_ns)
@@ -83,7 +84,7 @@ def interval_union(spans):
 
 @query("error_origins", ["spans"], f"WITH {TREE}, {ORIGINS} SELECT trace_id, span_id, service, end_ns FROM g", recursive=True)
 def error_origins(spans):
-    return ot.error_origins(ot.corrected(spans))
+    return ot.error_origins(ot.assembled(spans))
 
 
 _COUNTS = f"""n AS (SELECT win, service, CAST(sum(q) AS BIGINT) AS requests, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(o) AS BIGINT) AS roots, CAST(sum(g) AS BIGINT) AS error_origins FROM (SELECT end_ns // {W} AS win, service, 1 AS q, CAST(error AS INT) AS e, CAST(root AS INT) AS o, 0 AS g FROM v
@@ -92,13 +93,13 @@ _COUNTS = f"""n AS (SELECT win, service, CAST(sum(q) AS BIGINT) AS requests, CAS
 
 @query("window_services", ["spans"], f"WITH {TREE}, {CALLS}, {VISITS}, {ORIGINS}, {_COUNTS} SELECT * FROM n", recursive=True)
 def window_services(spans):
-    c = ot.corrected(spans)
+    c = stored(ot.assembled(spans), "traces")
     return ow.service_counts(ot.visits(c), ot.error_origins(c), W)
 
 
 @query("window_edges", ["spans"], f"WITH {TREE}, {CALLS} SELECT b // {W} AS win, caller, callee, count(*) AS calls, count(*) FILTER (error) AS errors, bool_or(virtual_callee) AS any_virtual FROM e GROUP BY 1, 2, 3", recursive=True)
 def window_edges(spans):
-    return ow.edge_counts(ot.calls(ot.corrected(spans)), W)
+    return ow.edge_counts(ot.calls(ot.assembled(spans)), W)
 
 
 @query("edge_catalogue", ["spans"], f"WITH {TREE}, {CALLS} SELECT caller, callee, count(*) AS calls, max(b // {W}) AS last_window FROM e GROUP BY 1, 2 HAVING (SELECT max(b // {W}) FROM e) - max(b // {W}) <= 360", recursive=True)
@@ -123,7 +124,7 @@ _INBOUND_ROWS = f"""SELECT win, callee AS service, 'inbound_requests' AS name, '
 
 @query("inbound_series", ["spans"], f"WITH {TREE}, {CALLS}, {_INBOUND} {_INBOUND_ROWS}", recursive=True)
 def inbound_series(spans):
-    return ow.inbound_series(ot.calls(ot.corrected(spans)), W)
+    return ow.inbound_series(ot.calls(ot.assembled(spans)), W)
 
 
 _VW = f"(SELECT end_ns // {W} AS win, service, CAST(duration_ns AS DOUBLE) AS d, CAST(local_ns AS DOUBLE) AS l FROM v)"
@@ -140,9 +141,8 @@ _OWN = f"""qd AS ({quantile_sql(_sketch_sql(_VW, "win, service", "d"), "win, ser
     recursive=True,
 )
 def trace_series(spans):
-    c = ot.corrected(spans)
-    calls = ot.calls(c)
-    return ow.trace_series(ot.visits(c, calls), calls, ot.error_origins(c), W)
+    c = stored(ot.assembled(spans), "traces")
+    return ow.trace_series(ot.visits(c), ot.calls(c), ot.error_origins(c), W)
 
 
 @query("summary_merge", ["spans"], f"WITH {TREE}, {CALLS}, {VISITS}, {ORIGINS}, {_COUNTS} SELECT * FROM n", recursive=True)
@@ -150,7 +150,7 @@ def summary_merge(spans):
     """Summaries of two halves of the traces, merged, are those of the whole."""
     parts = []
     for i in (0, 1):
-        c = ot.corrected(spans.filter(F.col("trace_id") % 2 == i))
+        c = stored(ot.assembled(spans.filter(F.col("trace_id") % 2 == i)), "traces")
         parts.append(ow.service_counts(ot.visits(c), ot.error_origins(c), W))
     return ow.merge_all(parts, ["win", "service"])
 
@@ -349,10 +349,10 @@ def contributions(series, graph):
     return ork.contributions(_features(series, graph)[0], ork.model(ork.HEURISTIC))
 
 
-@query("top_signals", ["series"], f"{scores_sql('robust')} SELECT service, name, {r('mx')} AS max, row_number() OVER (PARTITION BY service ORDER BY mx DESC, name) AS position FROM sc QUALIFY position <= 2")
+@query("top_signals", ["series"], f"{scores_sql('robust')} SELECT service, name, {r('mx')} AS max, row_number() OVER (PARTITION BY service ORDER BY mx DESC, name) AS position FROM sc QUALIFY position <= 5")
 def top_signals(series):
     s = _scored(series, "robust").withColumn("incident", F.lit("a"))
-    return ork.top_signals(s, most=2).select("service", "name", "max", F.col("position").cast("long"))
+    return ork.top_signals(s).select("service", "name", "max", F.col("position").cast("long"))
 
 
 def _digits(x: str) -> str:
