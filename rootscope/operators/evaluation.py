@@ -32,6 +32,28 @@ def report(ranks: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     )
 
 
+def results_table(ranks: DataFrame, row: str, column: str, columns: list[str]) -> DataFrame:
+    """Avg@5 as a table: a row a method, a column a data set, and their mean over all cases."""
+    hit = sum((F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0)) for k in range(1, 6)), F.lit(0.0)) / 5
+    return ranks.groupBy(row).agg(*(F.avg(F.when(F.col(column) == c, hit)).alias(c) for c in columns), F.avg(hit).alias("all"))
+
+
+def outcomes(runs: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    """runs: scenario outcomes with delay_s (null: not detected), first_rank, false_incidents. Summaries at several levels at once.
+
+    The median of an even number of delays is the upper one.
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    groups = ", ".join("(" + ", ".join(s) + ")" for s in sets)
+    return runs.sparkSession.sql(
+        f"""SELECT {", ".join(columns)}, count(*) AS runs, count(delay_s) AS detected, sum(false_incidents) AS false_incidents,
+            avg(CASE WHEN first_rank = 1 THEN 1.0D ELSE 0.0D END) AS ac_1,
+            try_element_at(array_sort(collect_list(delay_s)), CAST(count(delay_s) DIV 2 + 1 AS INT)) AS median_delay_s
+        FROM {{runs}} GROUP BY GROUPING SETS ({groups})""",
+        runs=runs,
+    )
+
+
 def paired(a: DataFrame, b: DataFrame, case: str) -> DataFrame:
     """Cases that both methods have: how often each is better."""
     j = a.select(case, F.col("rank").alias("ra")).join(b.select(case, F.col("rank").alias("rb")), case)

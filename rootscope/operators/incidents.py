@@ -37,6 +37,35 @@ def triggers(anomalies: DataFrame, cfg: IncidentConfig = IncidentConfig()) -> Da
     return w.withColumn("opens", opens)
 
 
+def warmed_up(anomalies: DataFrame, windows: DataFrame, warmup: int) -> DataFrame:
+    """Without the anomalies of the first `warmup` windows, in which nothing is known yet."""
+    first = windows.agg((F.min("win") + warmup).alias("__from"))
+    return anomalies.crossJoin(F.broadcast(first)).filter(F.col("win") >= F.col("__from")).drop("__from")  # one row
+
+
+def analysis_bounds(actions: DataFrame, resolution_s: float, reference_s: float) -> DataFrame:
+    """actions: incident, action, at_s, start_s, last_anomaly_s. The bounds of each analysis, as scores.split() takes them.
+
+    An incident is analysed when it opens, at intervals, and when it is resolved, then up to two windows after its last anomaly.
+    """
+    end = F.when(F.col("action") == "resolved", F.col("last_anomaly_s") + 2 * resolution_s).otherwise(F.col("at_s"))
+    return actions.select("incident", "action", F.col("start_s").alias("t0_s"), (F.col("start_s") - reference_s).alias("from_s"), end.alias("to_s"))
+
+
+def recent(incidents_: DataFrame, limit: int = 50, start: str = "start", name: str = "id") -> DataFrame:
+    """The last incidents, newest first: `limit`, at most 500."""
+    return incidents_.orderBy(F.desc(start), name).limit(min(max(1, limit), 500))
+
+
+def found(ids: DataFrame, live: DataFrame, kept: DataFrame, name: str = "id") -> DataFrame:
+    """Each wanted incident as it is held live, or else as it was kept; columns of live and kept are alike."""
+    columns = [c for c in live.columns if c != name]
+    a = live.select(name, F.struct(*columns).alias("__a"))
+    b = kept.select(name, F.struct(*columns).alias("__b"))
+    both = ids.select(name).distinct().join(a, name, "left").join(b, name, "left")
+    return both.select(name, F.coalesce("__a", "__b").alias("__c")).filter("__c is not null").select(name, "__c.*")
+
+
 class Lifecycle:
     """One incident at a time: opens on a trigger, is analysed after a delay and then at intervals, resolves after quiet."""
 

@@ -113,3 +113,11 @@ def with_novelty(lines: DataFrame, after_us: int, inclusive: bool = False) -> Da
     t = lines.withColumn("template", signature(F.col("body")))
     first = F.min("ts_us").over(Window.partitionBy("service", "template"))
     return t.withColumn("first_seen", first).withColumn("novel", F.col("first_seen") >= after_us if inclusive else F.col("first_seen") > after_us)
+
+
+def with_streaming_novelty(lines: DataFrame, started_us: int, warmup_us: int, horizon_us: int) -> DataFrame:
+    """novel: the line's signature was first seen within the horizon before it, and not during the warm-up."""
+    t = lines.withColumn("template", signature(F.col("body")))
+    first = F.min("ts_us").over(Window.partitionBy("service", "template"))
+    since = F.greatest(F.lit(started_us + warmup_us).cast("long"), F.col("ts_us") - horizon_us)
+    return t.withColumn("first_seen", first).withColumn("novel", F.col("first_seen") >= since)

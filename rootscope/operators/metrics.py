@@ -45,3 +45,11 @@ def as_points(points: DataFrame) -> DataFrame:
     counters = counter_rates(p.filter("kind = 'cumulative'")).withColumns({"value": F.col("rate"), "agg": F.lit("stream_rate")})
     columns = ["service", "name", "stream", "ts_us", "value", "agg"]
     return level.select(columns).unionByName(delta.select(columns)).unionByName(counters.select(columns))
+
+
+def shown_rates(points: DataFrame) -> DataFrame:
+    """Rates of counters as a chart shows them: a point after a fall starts anew and has none."""
+    w = Window.partitionBy("stream", "service").orderBy("ts_us")
+    p = points.withColumns({"__pv": F.lag("value").over(w), "__pt": F.lag("ts_us").over(w)})
+    ok = (F.col("value") >= F.col("__pv")) & (F.col("ts_us") > F.col("__pt"))
+    return p.filter(ok).withColumn("rate", (F.col("value") - F.col("__pv")) / ((F.col("ts_us") - F.col("__pt")) / 1e6)).drop("__pv", "__pt")

@@ -165,3 +165,15 @@ def gaps(messages: DataFrame) -> DataFrame:
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last written row of each key."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__rn = 1").drop("__rn")
+
+
+def service_view(observed: DataFrame) -> DataFrame:
+    """observed: service, name, anomalous. How many series each service has, and which of them are anomalous."""
+    series = observed.groupBy("service", "name").agg(F.bool_or("anomalous").alias("anomalous"))
+    names = F.array_sort(F.collect_list(F.when(F.col("anomalous"), F.col("name"))))
+    return series.groupBy("service").agg(F.count("*").alias("series"), names.alias("anomalous"))
+
+
+def pilot_traffic(spans: DataFrame, seconds: float = 60.0) -> DataFrame:
+    """Calls a second to each peer."""
+    return spans.filter("peer <> ''").groupBy("peer").agg((F.count("*") / seconds).alias("per_s"))

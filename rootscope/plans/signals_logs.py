@@ -169,6 +169,12 @@ def template_signature(logs):
     return bodies(logs).groupBy("service", fl.signature(F.col("body")).alias("template")).agg(F.count("*").alias("n"), F.min("ts_us").alias("first_seen"))
 
 
+@query("parsed_id", ["spans"], "SELECT DISTINCT trace_id, span_id, trace_id * 4096 + span_id AS id FROM spans")
+def parsed_id(spans):
+    hex_ = F.lower(F.hex(F.col("trace_id") * 4096 + F.col("span_id")))
+    return spans.select("trace_id", "span_id", fs.parsed_id(hex_).alias("id")).distinct()
+
+
 _AFTER = 200_000_000
 _NOVEL = f"SELECT *, min(ts_us) OVER (PARTITION BY service, template) AS first_seen FROM ({_SIGNED})"
 
@@ -178,6 +184,12 @@ def log_novelty(logs):
     return ol.with_novelty(bodies(logs), _AFTER).select("service", "ts_us", "first_seen", "novel")
 
 
+@query("log_novelty_streaming", ["logs"], f"SELECT service, ts_us, first_seen, first_seen >= greatest({_AFTER}, ts_us - 500000000) AS novel FROM ({_NOVEL})")
+def log_novelty_streaming(logs):
+    out = ol.with_streaming_novelty(bodies(logs), _AFTER // 2, _AFTER // 2, 500_000_000)
+    return out.select("service", "ts_us", "first_seen", "novel")
+
+
 _LOGWIN = f"""SELECT ts_us // 100000000 AS win, service, count(*) AS lines, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (first_seen > {_AFTER}) AS novel
     FROM (SELECT *, {_SEVERITY} AS severity FROM ({_NOVEL})) GROUP BY 1, 2"""
 

@@ -219,3 +219,12 @@ def incident_upsert(ranks):
 
     rows = ranks.select(F.col("dataset").alias("id"), "method", F.col("case_id").alias("seq"))
     return upserted(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1"))
+
+
+@query(
+    "shown_rates", ["counters"],
+    f"""SELECT stream, service, ts_us, {r("(value - pv) / ((ts_us - pt) / 1e6)")} AS rate FROM (SELECT *, lag(value) OVER (PARTITION BY stream, service ORDER BY ts_us) AS pv,
+    lag(ts_us) OVER (PARTITION BY stream, service ORDER BY ts_us) AS pt FROM counters) WHERE value >= pv AND ts_us > pt""",
+)
+def shown_rates(counters):
+    return om.shown_rates(counters).select("stream", "service", "ts_us", "rate")

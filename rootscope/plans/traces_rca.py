@@ -503,3 +503,57 @@ def truth_rank(graph):
 def bootstrap_ci(ranks):
     hits = ranks.withColumn("hit", (F.coalesce("rank", F.lit(99)) <= 1).cast("double"))
     return oe.bootstrap(hits.select("case_id", "method", "hit"), ["method"], "hit", rounds=50)
+
+
+@query("services_view", ["series"], f"{_DET} SELECT service, count(*) AS series, coalesce(string_agg(CASE WHEN odd THEN name END, ',' ORDER BY name), '') AS anomalous FROM (SELECT service, name, bool_or(anomalous) AS odd FROM dt GROUP BY 1, 2) GROUP BY 1")
+def services_view(series):
+    v = ow.service_view(od.detect_relational(_directed(series)))
+    return v.select("service", "series", F.array_join("anomalous", ",").alias("anomalous"))
+
+
+@query("warmup_gate", ["series"], f"{_DET} SELECT win, service, {r('max(least(harm, 30))')} AS surprise FROM dt WHERE harm >= 2 AND win >= (SELECT min(win) + 60 FROM series) GROUP BY 1, 2")
+def warmup_gate(series):
+    return oi.warmed_up(window_anomalies(series), series.select("win"), 60).select("win", "service", "surprise")
+
+
+@query("recent_incidents", ["ranks"], "SELECT case_id AS id, case_id % 977 AS start FROM ranks ORDER BY start DESC, id LIMIT 50")
+def recent_incidents(ranks):
+    return oi.recent(ranks.select(F.col("case_id").alias("id"), (F.col("case_id") % 977).alias("start")))
+
+
+@query("incident_lookup", ["ranks"], "SELECT case_id AS id, CASE WHEN case_id % 3 = 0 THEN 'open' ELSE 'resolved' END AS status FROM ranks WHERE case_id % 3 = 0 OR case_id % 2 = 0")
+def incident_lookup(ranks):
+    i = ranks.select(F.col("case_id").alias("id"))
+    live, kept = i.filter("id % 3 = 0").withColumn("status", F.lit("open")), i.filter("id % 2 = 0").withColumn("status", F.lit("resolved"))
+    return oi.found(i, live, kept)
+
+
+@query("analysis_bounds", ["ranks"], "SELECT case_id AS incident, CASE case_id % 3 WHEN 0 THEN 'opened' WHEN 1 THEN 'analyze' ELSE 'resolved' END AS action, case_id * 60e0 AS t0_s, case_id * 60e0 - 1200 AS from_s, CASE WHEN case_id % 3 = 2 THEN case_id * 60e0 + 320 ELSE case_id * 60e0 + 500 END AS to_s FROM ranks")
+def analysis_bounds(ranks):
+    t = (F.col("case_id") * 60).cast("double")
+    action = F.element_at(F.array(F.lit("opened"), F.lit("analyze"), F.lit("resolved")), (F.col("case_id") % 3 + 1).cast("int"))
+    return oi.analysis_bounds(ranks.select(F.col("case_id").alias("incident"), action.alias("action"), (t + 500).alias("at_s"), t.alias("start_s"), (t + 300).alias("last_anomaly_s")), 10.0, 1200.0)
+
+
+_SETS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_HIT5 = "(" + " + ".join(f"CASE WHEN rank <= {k} THEN 1e0 ELSE 0e0 END" for k in range(1, 6)) + ") / 5"
+
+
+@query("results_table", ["ranks"], "SELECT method, " + ", ".join(r(f"avg(CASE WHEN dataset = '{c}' THEN {_HIT5} END)") + f' AS "{c}"' for c in _SETS) + f", {r(f'avg({_HIT5})')} AS \"all\" FROM ranks GROUP BY 1")
+def results_table(ranks):
+    return oe.results_table(ranks, "method", "dataset", _SETS)
+
+
+_RUNS = "(SELECT dataset AS kind, case_id % 3 AS size, CASE WHEN rank IS NULL THEN NULL ELSE (case_id % 17) * 1e0 END AS delay_s, rank AS first_rank, case_id % 5 // 4 AS false_incidents FROM ranks)"
+
+
+@query("scenario_outcomes", ["ranks"], f"SELECT size, kind, count(*) AS runs, count(delay_s) AS detected, CAST(sum(false_incidents) AS BIGINT) AS false_incidents, {r('avg(CASE WHEN first_rank = 1 THEN 1e0 ELSE 0e0 END)')} AS ac_1, list_sort(list(delay_s) FILTER (delay_s IS NOT NULL))[CAST(count(delay_s) // 2 + 1 AS INT)] AS median_delay_s FROM {_RUNS} GROUP BY GROUPING SETS ((size), (kind))")
+def scenario_outcomes(ranks):
+    delay = F.when(F.col("rank").isNotNull(), (F.col("case_id") % 17).cast("double"))
+    runs = ranks.select(F.col("dataset").alias("kind"), (F.col("case_id") % 3).alias("size"), delay.alias("delay_s"), F.col("rank").alias("first_rank"), F.expr("case_id % 5 div 4").alias("false_incidents"))
+    return oe.outcomes(runs, [("size",), ("kind",)])
+
+
+@query("pilot_traffic", ["spans"], f"SELECT peer, {r('count(*) / 60e0')} AS per_s FROM spans WHERE peer <> '' GROUP BY 1")
+def pilot_traffic(spans):
+    return ow.pilot_traffic(spans)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rfc3339_seconds
+
 
 def wide_metrics(frame: DataFrame, time: str = "time") -> DataFrame:
     """time and <service>_<metric> columns to service, name, time_s, value: the last row of each time; memory in MB."""
@@ -35,5 +37,5 @@ def cases(index: DataFrame, datasets: list[str] | None = None, include_defective
 
 def firing(alerts: DataFrame, most: int = 20) -> DataFrame:
     """Firing alerts, at most `most`, with the time to analyse."""
-    t = F.unix_micros(F.try_to_timestamp("startsAt")) / 1e6
+    t = rfc3339_seconds(F.col("startsAt"))
     return alerts.filter(F.col("status") == "firing").select("fingerprint", t.alias("t0_s")).orderBy("t0_s", "fingerprint").limit(most)
