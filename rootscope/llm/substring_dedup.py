@@ -1,21 +1,27 @@
 """Incremental removal of repeated word windows with a log-structured fingerprint index.
 
-The index holds, for each batch that came, an immutable run: by bucket, the sorted fingerprints of the
+The index is a folder. For each batch that came it holds an immutable run: by bucket, the sorted fingerprints of the
 batch's windows (one per run of windows that share their least gram hash) with the ids of all documents that
-have them, beside the batch's texts. A new batch's sorted fingerprints are merge-joined with one another and with
-each run; documents of both sides that share fingerprints meet again in shared.py, where windows are compared
-word by word, and those of the new batch that an earlier document starts too are marked. Then the batch
-becomes a run. When there are more than FAN_IN runs, they are compacted: each bucket's runs merged into one.
-
-Batches come in order of doc_id, as a window counts as repeated if it starts in a document with a smaller
-one; ids at or below one that came before are refused. Runs are tables in the shared folder.
-
-Null text: no words. Null doc_id: nothing removed, and it removes nothing. Rows of one doc_id are one document's.
+have them, beside the batch's texts in a table bucketed by document. A new batch's sorted fingerprints are merge-joined with
+one another and with each run; documents of both sides that share fingerprints meet again in shared.py, where windows
+are compared word by word, and those of the new batch that an earlier document starts too are marked. Of the
+texts that came before, only those with a shared fingerprint leave their buckets. Then the batch becomes a run of
+level 0, and FAN_IN runs of one level are compacted to one of the next, texts and all: each bucket's runs are merged.
+So a batch meets a number of runs that grows with the logarithm of their number, and each row is rewritten as often.
+
+A manifest names the runs. It is written last, under a new number, so an index that was left in the midst of a
+batch opens as it was before it. Batches come in order of doc_id, as a window counts as repeated if it starts in a document
+with a smaller one; ids at or below one that came before are refused.
+
+Null text: no words. Null doc_id: nothing removed, and it removes nothing. Rows of one doc_id are one document's, so there
+are no ties. Very long texts are taken whole. An empty batch is a run without rows; extra columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import file_system, shared_dir, shuffle_partitions, stored
 from .hashing import _BYTE, powers
 from .shared import (
-    KEY_SCHEMA, LOCAL, RUN, Units, _batch, by_bucket, decode, finished, joined, least_runs, marks_of, mixed, n_buckets, packed, shared_keys,
-    wanted_keys,
+    KEY_SCHEMA, LOCAL, RUN, Units, _batch, by_bucket, decode, finished, hot_keys, joined, least_runs, marks_from, mixed, n_buckets, packed,
+    shared_keys, wanted_keys,
 )
 from .suffix_dedup import without
 
-WINDOW, GRAM, FAN_IN, BATCHES = 50, 20, 4, 2
+WINDOW, GRAM, FAN_IN, BATCHES = 50, 20, 2, 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -91,42 +97,107 @@ def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, keys in zip(b.column("bucket").to_pylist(), b.column("keys").to_pylist()):
             held.setdefault(bucket, []).append(keys)
     for bucket, runs in held.items():
-        low, several, doc = (np.concatenate(x) for x in zip(*map(decode, runs)))
+        low, many, doc = (np.concatenate(x) for x in zip(*map(decode, runs)))
         order = np.lexsort((doc, low))
-        yield _batch(by_bucket(RUN, np.full(len(low), bucket), low[order], several[order], doc[order]), KEY_SCHEMA)
+        yield _batch(by_bucket(RUN, np.full(len(low), bucket), low[order], many[order], doc[order]), KEY_SCHEMA)
 
 
 class FingerprintIndex:
-    def __init__(self, spark, window: int = WINDOW, gram: int = GRAM, fan_in: int = FAN_IN):
-        self.spark, self.plan, self.fan_in, self.buckets = spark, WordsPlan(window, gram), fan_in, n_buckets(spark)
-        self.runs: list[DataFrame] = []
-        self.texts: list[DataFrame] = []
-        self.last: int | None = None
+    """An index in the folder `path`: the one that is there, or a new one."""
+
+    def __init__(self, spark, path: str, window: int = WINDOW, gram: int = GRAM, fan_in: int = FAN_IN):
+        self.spark, self.path, self.fan_in = spark, path.rstrip("/"), max(2, fan_in)
+        self.state = self._read() or {
+            "number": 0, "window": window, "gram": gram, "buckets": n_buckets(spark), "parts": shuffle_partitions(spark), "last": None, "runs": [],
+        }
+        if (self.state["window"], self.state["gram"]) != (window, gram):
+            raise ValueError(f"the index has windows of {self.state['window']} words and grams of {self.state['gram']}")
+        self.plan, self.buckets, self.parts = WordsPlan(window, gram), self.state["buckets"], self.state["parts"]
+
+    @property
+    def runs(self) -> list[dict]:
+        return self.state["runs"]
+
+    def _read(self) -> dict | None:
+        fs, folder = file_system(self.spark, self.path)
+        if not fs.exists(folder):
+            return None
+        found = sorted(x.getPath().toString() for x in fs.listStatus(folder) if x.getPath().getName().startswith("manifest-"))
+        return json.loads("".join(r[0] for r in self.spark.read.text(found[-1], wholetext=True).collect())) if found else None
+
+    def _write(self) -> None:
+        self.state["number"] += 1
+        fs, p = file_system(self.spark, f"{self.path}/manifest-{self.state['number']:012d}")
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+
+    def _texts(self, path: str) -> DataFrame:
+        """The table of texts at path, bucketed by doc_id, so that joins by it leave the texts where they are."""
+        name = "texts_" + path.rsplit("-", 1)[1]
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"CREATE TABLE {name} (doc_id BIGINT, th BIGINT, z BINARY) USING parquet CLUSTERED BY (doc_id) SORTED BY (doc_id) "
+                f"INTO {self.parts} BUCKETS LOCATION '{path}'"
+            )
+        return self.spark.table(name)
+
+    def _store_texts(self, rows: DataFrame) -> str:
+        path = f"{self.path}/texts-{uuid.uuid4().hex}"
+        name = "texts_" + path.rsplit("-", 1)[1]
+        rows = rows.repartition(self.parts, "doc_id").sortWithinPartitions("doc_id")
+        rows.write.format("parquet").bucketBy(self.parts, "doc_id").sortBy("doc_id").option("path", path).saveAsTable(name)
+        return path
+
+    def _store_run(self, rows: DataFrame) -> str:
+        path = f"{self.path}/run-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return path
+
+    def _run(self, path: str) -> DataFrame:
+        return self.spark.read.schema(KEY_SCHEMA).parquet(path)
+
+    def _drop(self, runs: list[dict]) -> None:
+        for r in runs:
+            self.spark.sql("DROP TABLE IF EXISTS texts_" + r["texts"].rsplit("-", 1)[1])
+            for path in (r["run"], r["texts"]):
+                fs, p = file_system(self.spark, path)
+                fs.delete(p, True)
 
     def ingest(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Add a batch. Returns doc_id, th (a hash of the text) and spans of words that earlier documents have."""
-        new = stored(packed(docs.select("doc_id", F.col(text).alias("text"))).filter("doc_id is not null and z is not null"), "texts")
+        last = self.state["last"]
+        new = packed(docs.select("doc_id", F.col(text).alias("text"))).filter("doc_id is not null and z is not null")
+        at = self._store_texts(new)
+        new = self._texts(at)
         low, high = new.agg(F.min("doc_id"), F.max("doc_id")).first()
-        if self.last is not None and low is not None and low <= self.last:
-            raise ValueError(f"doc_id {low} comes after {self.last}")
-        earlier = reduce(DataFrame.union, self.runs) if self.runs else None
+        if last is not None and low is not None and low <= last:
+            self._drop([{"run": at, "texts": at}])
+            raise ValueError(f"doc_id {low} comes after {last}")
+        earlier = reduce(DataFrame.union, (self._run(r["run"]) for r in self.runs)) if self.runs else None
         rows = stored(shared_keys(new, self.plan, self.buckets, "z", earlier, keep_run=True), "fingerprints")
-        lists = rows.filter(F.col("kind") == LOCAL)
-        marks = marks_of(reduce(DataFrame.union, [*self.texts, new]), wanted_keys(lists), self.plan, self.buckets)
-        if self.last is not None:
-            marks = marks.filter(F.col("doc_id") > self.last)
-        self.runs.append(rows.filter(F.col("kind") == RUN))
-        self.texts.append(new)
-        self.last = high if high is not None else self.last
-        if len(self.runs) > self.fan_in:
-            self.compact()
+        wanted = stored(wanted_keys(rows.filter(F.col("kind") == LOCAL)), "wanted")
+        held = [new, *(self._texts(r["texts"]) for r in self.runs)]
+        found = reduce(DataFrame.union, (t.join(wanted.hint("merge"), "doc_id").select("doc_id", "th", "z", "keys") for t in held))
+        marks = marks_from(found, self.plan, self.buckets, hot_keys(rows))
+        marks = stored(marks if last is None else marks.filter(F.col("doc_id") > last), "marks")
+        run = self._store_run(rows.filter(F.col("kind") == RUN))
+        self.runs.append({"run": run, "texts": at, "level": 0})
+        self.state["last"] = high if high is not None else last
+        self._write()
+        while crowded := [n for n in sorted({r["level"] for r in self.runs}) if sum(r["level"] == n for r in self.runs) >= self.fan_in]:
+            self.compact(crowded[0])
         return marks
 
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            every = reduce(DataFrame.union, self.runs).repartition(shuffle_partitions(self.spark), "bucket")
-            self.runs = [stored(every.mapInArrow(_compacted, KEY_SCHEMA), "fingerprints")]
+    def compact(self, level: int) -> None:
+        """Merge all runs of a level into one of the next."""
+        old = [r for r in self.runs if r["level"] == level]
+        every = reduce(DataFrame.union, (self._run(r["run"]) for r in old)).repartition(shuffle_partitions(self.spark), "bucket")
+        run = self._store_run(every.mapInArrow(_compacted, KEY_SCHEMA))
+        texts = self._store_texts(reduce(DataFrame.union, (self._texts(r["texts"]) for r in old)))
+        self.state["runs"] = [*(r for r in self.runs if r["level"] != level), {"run": run, "texts": texts, "level": level + 1}]
+        self._write()
+        self._drop(old)
 
 
 def figures(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
@@ -135,9 +206,14 @@ def figures(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def repeated_words(docs: DataFrame, batches: int = BATCHES, text: str = "text", **options) -> DataFrame:
-    """All of docs through an index, in batches by doc_id. Returns as ingest."""
-    index = FingerprintIndex(docs.sparkSession, **options)
+def repeated_words(docs: DataFrame, batches: int = BATCHES, text: str = "text", path: str | None = None, **options) -> DataFrame:
+    """All of docs through an index, in batches by doc_id. Returns as ingest. Without a path the index goes when the driver ends."""
+    spark = docs.sparkSession
+    if path is None:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        fs, p = file_system(spark, path)
+        fs.deleteOnExit(p)
+    index = FingerprintIndex(spark, path, **options)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     found = []
