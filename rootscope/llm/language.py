@@ -11,6 +11,9 @@ If one language's total leads, no stretch of words gains SWITCH under any other,
 last stretches together, then no path with a change can score better: each stretch pays for a change of
 its own, but for one at an end. The path is constant then, an exact shortcut.
 
+Marks without a letter are no word. Very long texts are scored in parts of PIECE characters, cut between words, and decided
+as one. Repeated rows are judged one by one, an empty table gives none; extra columns go along if they are kept.
+
 Fitting uses a sample of at most about PER_LANGUAGE labelled texts of each language, chosen by a hash of the
 whole row id; everything else covers whole texts of all rows. Null or letterless text: `und`, score 0, no spans.
 Without any labelled text every prediction is `und`. Ties go to the language first in order.
@@ -28,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unique_name
+
 BUCKETS, SMOOTH, SWITCH, SCRIPT_SHARE, PER_LANGUAGE = 1 << 16, 0.5, 12.0, 0.01, 1500
 OUT_OF_SCRIPT, PIECE = 60.0, 1 << 18
 #: First and last code point of each block, by script.
@@ -66,7 +71,7 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     """text in parts of about most characters, cut between words where that is possible."""
     at = 0
     while len(text) - at > most:
-        end = next((i for i in range(at + most, at + most // 2, -1) if not text[i].isalpha()), at + most)
+        end = next((i for i in range(at + most, at + most // 2, -1) if unicodedata.category(text[i])[0] not in "LM"), at + most)
         yield text[at:end]
         at = end
     yield text[at:] if at else text
@@ -74,12 +79,18 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
 
 def grams(text: str):
     """Of each letter in words: its trigram's bucket and its code point; where each word begins among them, and in text."""
-    low, _, _ = tables()
+    low, letter, _ = tables()
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     x = np.zeros(len(cp) + 2, np.uint32)
     x[1:-1] = low[cp]
-    inside = x[1:-1] != 0
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(x[1:-1])
+    starts = np.flatnonzero(x[at] == 0)
+    if len(at):
+        spelt = np.logical_or.reduceat(letter[cp[at]], starts)
+        if not spelt.all():  # marks without any letter are no word
+            on = np.repeat(spelt, np.diff(starts, append=len(at)))
+            x[1 + at[~on]] = 0
+            at = at[on]
     h = x[at] * np.uint32(0x9E3779B1) + x[at + 1] * np.uint32(0x85EBCA77) + x[at + 2] * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
@@ -250,7 +261,7 @@ def identify(df: DataFrame, model: Model, keep: list[str], text: str = "text", s
     """The columns keep of df and each text's language, score and spans (in code points)."""
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     sent = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats a language
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(_labels(sent, switch), f"{own}, {SCHEMA}")
+    return df.select(*keep, F.col(text).alias(unique_name(df.select(*keep), "text"))).mapInArrow(_labels(sent, switch), f"{own}, {SCHEMA}")
 
 
 def op1(spark, sf_dir):
