@@ -4,14 +4,16 @@ A page becomes a sequence of tags and text runs. A text run scores a positive we
 negative one, and the contiguous stretch that scores best, found in one linear scan, is the content
 region. Weights come from labelled pages, those with one article element: a tag found as often
 outside the article as inside (for its share of words) costs most, one found only inside least, and the
-article's own bounds count as outside.
+article's own bounds count as outside. For the weights only scripts, styles and the like are left out of a page.
 
 Elements that are never content wherever they stand (scripts, styles, forms, menus, headers and footers
 of a page, asides, and blocks whose class, id or role says advert, notice, comments, sidebar, ...) are taken
 out before the scan; their words score nothing and each costs as a tag that only articles hold.
 
-Null page: empty. Broken markup: unclosed elements end with their parent, stray end tags are only tags.
-Pages are independent, so repeated rows give repeated results.
+Null or empty page: empty. Broken markup: unclosed elements end with their parent, stray end tags are only tags, unclosed
+quotes do not hide what follows. A page of any length is scanned in a time proportional to it. Pages are independent, so
+repeated rows give repeated results, and an empty table none; ties go to the first stretch. Columns that are kept must
+not be named text or n_chars.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unique_name
+
 #: A word; a tag that only articles hold; times that, at most, by doublings of its count elsewhere; a tag that no labelled page has.
 FIT_PAGES, WORD, TAG, SPREAD, NOTHING_KNOWN = 4000, 1.0, 0.05, 60.0, 0.25
 #: Element names of HTML, by what they mean for text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe noembed noframes xmp template svg math object canvas audio video select".split())
+OPAQUE = RAW - set("svg math object select audio video canvas template".split())
 NEVER = set("head nav footer aside form button menu dialog label fieldset option datalist".split()) | RAW
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike "
@@ -48,11 +53,8 @@ MARKS = re.compile(
     re.I,
 )
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|$)",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 #: A tag that an open element of these names does not outlive.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -76,63 +78,102 @@ def marked(name: str, attributes: str, inside: int) -> bool:
     return False
 
 
-def parts(page: str) -> list[tuple[str, str]]:
-    """(tag name, "") or ("", text), with "-" for an element taken out; end tags have a slash."""
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, kind (tag, end, raw, data or none), name and attributes of each piece of markup, in one pass.
+
+    raw: an element whose content is no markup, to its end tag.
+
+    A `>` in quotes does not end a tag. If a quote is never closed, tags that start before it end at the next `>`, so that
+    no part of a page is looked at more than a few times. What is never ended reaches to the page's end.
+    """
+    at, plain = 0, -1
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "none", "", ""
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at + 9)
+            text = page[at + 9 : len(page) if end < 0 else end]
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "data", "", text
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1 or len(page)
+            yield at, end, "none", "", ""
+        elif m := _NAME.match(page, at):
+            end = m.end()
+            while at > plain and (stop := _STOP.search(page, end)) and stop[0] != ">":
+                close = page.find(stop[0], stop.end())
+                if close < 0:
+                    plain = stop.start()
+                else:
+                    end = close + 1
+            close = page.find(">", m.end() if at <= plain else end)
+            end = len(page) if close < 0 else close + 1
+            name, rest = m[2].lower(), page[m.end() : len(page) if close < 0 else close]
+            if not m[1] and name in OPAQUE:
+                shut = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, end)
+                end = shut.end() if shut else len(page)
+                yield at, end, "raw", name, rest
+            else:
+                yield at, end, "end" if m[1] else "tag", name, rest
+        else:
+            end = at + 1
+        at = end
+
+
+def parts(page: str, bare: bool = False) -> list[tuple[str, str]]:
+    """(tag name, "") or ("", text), with "-" for an element taken out; end tags have a slash.
+
+    bare: only what holds no text for readers (scripts, styles, ...) is taken out.
+    """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each takes its content out
+    names: dict[str, int] = {}  # how many of each are open
     hidden = inside = at = 0
-    end = len(page)
 
     def shut(upto: int) -> None:
         nonlocal hidden, inside
         while len(stack) > upto:
             n, h = stack.pop()
+            names[n] -= 1
             hidden -= h
             inside -= n in ("article", "main")
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not hidden:
-            out.append(("", page[at:stop]))
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not hidden:
-                out.append(("", html.escape(m[0][9:].removesuffix("]]>"))))
-            continue
-        name = m[2].lower()
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+    for start, end, kind, name, rest in tags(page):
+        if start > at and not hidden:
+            out.append(("", page[at:start]))
+        at = end
+        if kind == "data" and not hidden:
+            out.append(("", html.escape(rest)))
+        elif kind == "end":
             was = hidden
-            if k >= 0:
-                shut(k)
+            if names.get(name):
+                shut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             if not was:
                 out.append((f"/{name}", ""))
             elif not hidden:
                 out.append(("-", ""))
-            continue
-        if name in RAW and name not in ("svg", "math", "object", "select", "audio", "video", "canvas", "template"):
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+        elif kind == "raw" and not hidden:
+            out.append(("-", ""))
+        elif kind == "tag":
+            if any(names.get(n) for n in _ENDS.get(name, ())):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in _ENDS[name]:
+                        shut(i)
+                        break
+                    if stack[i][0] in _BOUND:
+                        break
+            drop = name in RAW if bare else marked(name, rest, inside)
             if not hidden:
-                out.append(("-", ""))
-            continue
-        if name in _ENDS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _ENDS[name]:
-                    shut(i)
-                    break
-                if stack[i][0] in _BOUND:
-                    break
-        drop = marked(name, m[3], inside)
-        if not hidden:
-            out.append(("-" if drop else name, ""))
-        if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, drop))
-            hidden += drop
-            inside += name in ("article", "main")
+                out.append(("-" if drop else name, ""))
+            if name not in VOID and (name in _ENDS or not rest.endswith("/")):
+                stack.append((name, drop))
+                names[name] = names.get(name, 0) + 1
+                hidden += drop
+                inside += name in ("article", "main")
+    if at < len(page) and not hidden:
+        out.append(("", page[at:]))
     return out
 
 
@@ -179,7 +220,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def tag_counts(page: str) -> dict[str, list[float]] | None:
     """Of a labelled page: tags inside and outside its article, per word there; None if it has not just one."""
-    items = parts(page)
+    items = parts(page, bare=True)
     if sum(t == "article" for t, _ in items) != 1 or sum(t == "/article" for t, _ in items) != 1:
         return None
     a, b = (next(i for i, (t, _) in enumerate(items) if t == x) for x in ("article", "/article"))
@@ -233,7 +274,7 @@ def _extracted(weights: dict[str, float]):
 
 def extract(df: DataFrame, weights: dict[str, float], keep: list[str], page: str = "html") -> DataFrame:
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    return df.select(*keep, F.col(page).alias("__page")).mapInArrow(_extracted(weights), f"{own}, text string, n_chars long")
+    return df.select(*keep, F.col(page).alias(unique_name(df.select(*keep), "page"))).mapInArrow(_extracted(weights), f"{own}, text string, n_chars long")
 
 
 def op2(spark, sf_dir):
