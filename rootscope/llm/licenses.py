@@ -2,13 +2,15 @@
 
 A text becomes the sequence of its lower-cased words; one automaton finds the words of every notice
 phrase and of the identifier tag standing consecutively, in one pass whatever the number of phrases.
-After a tag, the expression (and / or / with, brackets) is read from the text itself, turned to postfix by
+After a tag it found, the expression (and / or / with, brackets) is read from the text itself, turned to postfix by
 the shunting-yard algorithm and evaluated: every licence named becomes a label, AND takes the stricter and
 OR the freer side's openness, WITH raises it. An expression that does not parse gives labels for the licence
 names that it holds, and no verdict.
 
 score: openness of what is granted, from 0 to 1 (0: nothing found, or all rights reserved); the strictest
-finding of a text counts. Null text: no words and no labels. Each row is judged alone.
+finding of a text counts. Null or empty text: no words and no labels. Each row is judged alone, repeated ones alike; an
+empty table gives none. Phrases may overlap, and each place of each counts. One pass whatever the text's length. Columns
+that are kept must not have names of SCHEMA.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM
+from .common import ALNUM, unique_name
 
 #: Phrase to label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -57,7 +59,8 @@ OPENNESS = {
 }
 UNKNOWN, EXCEPTION = 0.5, 0.1
 _TOKEN = re.compile(rb"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
-_TAG_TEXT = re.compile(rb"SPDX[^0-9A-Za-z\x80-\xff]+License[^0-9A-Za-z\x80-\xff]+Identifier(?![0-9A-Za-z\x80-\xff])[ \t]*:?", re.I)
+_WORD = re.compile(rb"[^ ]+")
+_COLON = re.compile(rb"[ \t]*:?")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -151,29 +154,32 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def scan(raw: bytes, a: ahocorasick.Automaton) -> tuple:
-    words = raw.translate(ALNUM).split()
+    spaced = raw.translate(ALNUM)
+    words = spaced.split()
     # One space after each word and one before the first: a match's spaces count the words before it.
     flat = (b" " + b" ".join(words) + b" ").decode("latin-1")
     n_base, base, labels, levels, expressions = 0, set(), set(), [], []
     first = last = None
-    tagged = False
-    for end, (phrase, what) in a.iter(flat):
-        at = -1
+    tags = []  # last words of identifier tags
+    passed = counted = 0
+    for end, (phrase, what) in a.iter(flat):  # in the order of their ends
+        counted += flat.count(" ", passed, end)
+        passed = end
+        at = counted - phrase.count(" ") - 1
         for is_base, label in what:
             if label is None:
-                tagged = True
+                tags.append(counted - 1)
                 continue
             labels.add(label)
             levels.append(openness(label))
             if is_base:
                 n_base += 1
                 base.add(label)
-                if at < 0:
-                    at = flat.count(" ", 0, end - len(phrase) - 1)
-                first, last = at if first is None or at < first else first, at if last is None or at > last else last
-    if tagged:
-        for m in _TAG_TEXT.finditer(raw):
-            if parts := tokens(raw, m.end()):
+                first, last = at if first is None else min(first, at), at if last is None else max(last, at)
+    if tags:
+        ends = [m.end() for m in _WORD.finditer(spaced)]
+        for tag in tags:
+            if parts := tokens(raw, _COLON.match(raw, ends[tag]).end()):
                 named, level = evaluate(parts)
                 labels |= {n.replace(",", "") for n in named}
                 expressions.append(" ".join(parts))
@@ -204,7 +210,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def license_scan(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep of df, and each text's findings (SCHEMA); expressions holds the tagged ones."""
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    return df.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(_scanned, f"{own}, {SCHEMA}")
+    return df.select(*keep, F.col(text).cast("binary").alias(unique_name(df.select(*keep), "text"))).mapInArrow(_scanned, f"{own}, {SCHEMA}")
 
 
 def op10(spark, sf_dir):
