@@ -8,11 +8,13 @@ that many axes are left out, and each fingerprint goes to the cells of all such
 Manhattan bound is tested, then the Hamming distance itself.
 
 Copies come down to one fingerprint first. A cell yields a spanning forest of its links, not all pairs: a
-search from fingerprint to fingerprint, each looking only at those not yet reached. Cells of more than
-CELL fingerprints are cut by exact equality in one of DISTANCE + 1 bit blocks, which loses no link.
+search from fingerprint to fingerprint, each looking only at those not yet reached. A cell of more than
+CELL fingerprints is cut by a second grid, of another embedding: the bits are dealt out to segments in another order, which
+keeps all distances, so no link is lost; and so on, through TURNS.
 
-Null text: no words, fingerprint zero. Null doc_id: fingerprinted, component null, linked to none.
-Repeated doc_ids: each row is fingerprinted, and the id takes the least component of its rows.
+Null or empty text: no words, fingerprint zero. Null doc_id: fingerprinted, component null, linked to none.
+Repeated doc_ids: each row is fingerprinted, and the id takes the least component of its rows. A bit that half of the
+hashes have is zero. Very long texts are hashed whole, in parts; an empty table gives none; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 SEGMENT_BITS, GROUPS, CELL = 2, 8, 4096
+#: Steps by which the bits are dealt out anew for a cell of more than CELL fingerprints; odd, so that each is an order of the bits.
+TURNS = (5, 13, 27)
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -97,18 +101,25 @@ def _in_cells(distance: int):
     return run
 
 
-def links(fp: np.ndarray, distance: int = DISTANCE, cell: int = CELL) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints."""
-    if len(fp) <= cell:
+def turned(fp: np.ndarray, step: int) -> np.ndarray:
+    """The bits of each fingerprint in another order, so that other bits share a segment; distances stay."""
+    out = np.zeros_like(fp)
+    for i in range(64):
+        out |= ((fp >> np.uint64(i)) & np.uint64(1)) << np.uint64(i * step % 64)
+    return out
+
+
+def links(fp: np.ndarray, distance: int = DISTANCE, cell: int = CELL, turn: int = 0) -> list[tuple[int, int]]:
+    """Links among distinct fingerprints that span their components. A large cell is cut by the grid of another embedding."""
+    if len(fp) <= cell or turn == len(TURNS):
         return _forest(fp, distance)
     out = []
-    width = -(-64 // (distance + 1))
-    for k in range(distance + 1):
-        part = (fp >> np.uint64(k * width)) & np.uint64((1 << width) - 1)
-        order = np.argsort(part, kind="stable")
-        for run in np.split(fp[order], np.flatnonzero(np.diff(part[order])) + 1):
+    groups = min(max(GROUPS, distance + 1), 64 // SEGMENT_BITS)
+    for key in cells(turned(fp, TURNS[turn]), distance, groups=groups):
+        order = np.argsort(key, kind="stable")
+        for run in np.split(fp[order], np.flatnonzero(np.diff(key[order])) + 1):
             if len(run) > 1:
-                out += _forest(run, distance)
+                out += links(run, distance, cell, turn + 1)
     return out
 
 
@@ -174,7 +185,7 @@ def _equal(k, f):
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """docs: doc_id and text. Returns doc_id, fp (long) and component_id."""
     spark = docs.sparkSession
-    raw = docs.select("doc_id", F.col(text).cast("binary").alias("__text"))
+    raw = docs.select("doc_id", F.col(text).cast("binary").alias("raw"))
     fps = stored(raw.mapInArrow(_fingerprints(shingle, SEED), "doc_id long, fp long"), "fingerprints")
     known = fps.filter(F.col("doc_id").isNotNull())
     reps = stored(known.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
