@@ -9,7 +9,9 @@ holds: at most FAN * capacity counts, whatever the number of documents. It retur
 class go to which ranges of the merged classes and at what place, and the pieces follow these ranges in
 one join per round. A document's pieces may lie in any sequences.
 
-Null text: empty, so only the end id. Repeated rows: each row is packed. Null doc_id: kept as null.
+Null text: empty, so only the end id. Repeated rows: each row is packed. Null doc_id: kept as null. Ties: equal lengths are
+interchangeable, the first open bin of the tightest room takes a piece. Very long texts are cut into as many pieces as they need;
+an empty table gives none. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -223,20 +225,19 @@ LOCAL_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long,
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, near: int = NEAR, fan: int = FAN) -> DataFrame:
     """docs: doc_id and text. Returns a row for each piece, with sequence_id and offset."""
-    pieces = stored(
-        docs.select("doc_id", F.col("text").cast("binary").alias("__text")).mapInArrow(_local(tokenizer, capacity), LOCAL_SCHEMA),
-        "pieces",
-    )
+    own = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    open_ = stored(own.mapInArrow(_local(tokenizer, capacity), LOCAL_SCHEMA), "pieces")
     full = F.col("size") >= capacity - near
-    nodes = 1 + (pieces.agg(F.max("node")).first()[0] or 0)
-    bits = max(1, (nodes - 1).bit_length())
-    # level, node, length and rank within the class make a bin's number; there are fewer nodes at each level.
-    number = lambda level, b: (
-        F.lit(level << 59) + F.shiftleft("node", 59 - b) + F.shiftleft("size", 59 - b - capacity.bit_length()) + F.col("idx")
-    )
-    state = pieces.withColumn("sequence_id", F.when(full | F.lit(nodes == 1), number(0, bits)))
-    classes = pieces.filter(~full).groupBy("node", "size").agg((F.max("idx") + 1).alias("n"))
-    level = 0
+    nodes = 1 + (open_.agg(F.max("node")).first()[0] or 0)
+    level, bits = 0, max(1, (nodes - 1).bit_length())
+
+    def placed(rows: DataFrame) -> DataFrame:
+        # level, node, length and rank within the class make a bin's number; there are fewer nodes at each level.
+        number = F.lit(level << 59) + F.shiftleft("node", 59 - bits) + F.shiftleft("size", 59 - bits - capacity.bit_length()) + F.col("idx")
+        return rows.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset")
+
+    done = placed(open_.filter(full | F.lit(nodes == 1)))
+    classes = open_.filter(~full).groupBy("node", "size").agg((F.max("idx") + 1).alias("n"))
     while nodes > 1:
         level += 1
         nodes = -(-nodes // fan)
@@ -253,26 +254,24 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, near: int =
             .applyInPandas(run, "pnode long, child long, size long, lo long, hi long, psize long, plo long, poff long"),
             "ranges",
         )
-        r = ranges.select("pnode", "child", F.col("size").alias("csize"), "lo", "hi", "psize", "plo", "poff")
-        s = state.withColumn("__open", F.when(F.col("sequence_id").isNull(), F.col("node")))
-        within = (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))
-        joined = s.join(r, (F.col("__open") == F.col("child")) & (F.col("size") == F.col("csize")) & within, "left")
-        state = joined.select(
-            "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id",
-            F.coalesce("pnode", "node").alias("node"), F.coalesce("psize", "size").alias("size"),
-            F.coalesce(F.col("plo") + F.col("idx") - F.col("lo"), "idx").alias("idx"),
-            (F.col("offset") + F.coalesce("poff", F.lit(0))).alias("offset"),
+        # Only pieces of bins that are still open meet the ranges; the others are done.
+        r = ranges.select("pnode", F.col("child").alias("node"), "size", "lo", "hi", "psize", "plo", "poff")
+        moved = open_.filter(~full).join(r, ["node", "size"]).filter((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
+        open_ = stored(
+            moved.select(
+                "doc_id", "piece", "start", "length", "ids_crc32", F.col("pnode").alias("node"), F.col("psize").alias("size"),
+                (F.col("plo") + F.col("idx") - F.col("lo")).alias("idx"), (F.col("offset") + F.col("poff")).alias("offset"),
+            ),
+            "moved",
         )
-        state = state.withColumn(
-            "sequence_id", F.coalesce("sequence_id", F.when(full | F.lit(nodes == 1), number(level, bits)))
-        )
+        done = done.union(placed(open_.filter(full | F.lit(nodes == 1))))
         classes = (
             ranges.select(F.col("pnode").alias("node"), F.col("psize").alias("size"), (F.col("plo") + F.col("hi") - F.col("lo")).alias("n"))
             .filter(~full)
             .groupBy("node", "size")
             .agg(F.max("n").alias("n"))
         )
-    return state.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return done
 
 
 def op5(spark, sf_dir):
