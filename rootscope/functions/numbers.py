@@ -66,6 +66,10 @@ def normal_sf(x: float) -> float:
     return 0.5 * math.erfc(x / math.sqrt(2))
 
 
+def normal_cdf(x: float) -> float:
+    return normal_sf(-x)
+
+
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p) if 0 < p < 1 else math.copysign(math.inf, p - 0.5)
 

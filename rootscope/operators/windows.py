@@ -46,7 +46,10 @@ def edge_catalogue(edge_windows: DataFrame, last: Column | None = None) -> DataF
     return out.crossJoin(F.broadcast(newest)).filter(F.col("__now") - F.col("last_window") <= GRAPH_TTL_WINDOWS).drop("__now")  # one row
 
 
-def entry_points(service_windows: DataFrame) -> DataFrame:
+def entry_points(service_windows: DataFrame, configured: list[str] | None = None) -> DataFrame:
+    """Services that traces start in, but for those not seen for long; the configured ones instead, if there are any."""
+    if configured:
+        return service_windows.filter(F.col("service").isin(configured)).groupBy("service").agg(F.max("win").alias("last_window"))
     seen = service_windows.filter("roots > 0").groupBy("service").agg(F.max("win").alias("last_window"))
     newest = service_windows.agg(F.max("win").alias("__now"))
     return seen.crossJoin(F.broadcast(newest)).filter(F.col("__now") - F.col("last_window") <= GRAPH_TTL_WINDOWS).drop("__now")  # one row
@@ -55,7 +58,7 @@ def entry_points(service_windows: DataFrame) -> DataFrame:
 def calendar(df: DataFrame, keys: list[str], fill: dict[str, float] | None = None) -> DataFrame:
     """Every window from the first to the last for every key, filled or null where there was none."""
     ends = df.agg(F.min("win").alias("a"), F.max("win").alias("b"))
-    grid = df.select(*keys).distinct().crossJoin(F.broadcast(ends.select(F.explode(F.sequence("a", "b")).alias("win"))))  # windows
+    grid = df.select(*keys).distinct().crossJoin(F.broadcast(ends)).select(*keys, F.explode(F.sequence("a", "b")).alias("win"))  # one row
     out = grid.join(df, [*keys, "win"], "left")
     return out.fillna(fill) if fill else out
 

@@ -164,11 +164,27 @@ def mask_tokens(logs):
     return b.select("service", "ts_us", F.size(fl.tokens(F.col("body"))).cast("long").alias("n_tokens"), fl.signature(F.col("body")).alias("template"))
 
 
+@query(
+    "line_similarity", ["logs"],
+    f"""SELECT service, ts_us, {r("CASE WHEN len(t) = 0 THEN 1 ELSE list_sum(list_transform(range(1, len(t) + 1), lambda i: CAST(t[i] = u[i] AS INT))) / CAST(len(t) AS DOUBLE) END")} AS similarity
+    FROM (SELECT *, list_reverse(t) AS u FROM (SELECT service, ts_us, {_MASKED} AS t FROM (SELECT service, ts_us, {BODY} AS b FROM logs)))""",
+)
+def line_similarity(logs):
+    """Of each line's masked words and the same words in reverse."""
+    words = fl.masked(F.col("body"))
+    return bodies(logs).select("service", "ts_us", fl.similarity(words, F.reverse(words)).alias("similarity"))
+
+
 @query("template_signature", ["logs"], f"SELECT service, template, count(*) AS n, min(ts_us) AS first_seen FROM ({_SIGNED}) GROUP BY 1, 2")
 def template_signature(logs):
     return bodies(logs).groupBy("service", fl.signature(F.col("body")).alias("template")).agg(F.count("*").alias("n"), F.min("ts_us").alias("first_seen"))
 
 
+@query("parsed_category", ["metrics", "logs"], f"{_CLASSED} SELECT name, category FROM k")
+def parsed_category(metrics, logs):
+    return _names(metrics, logs).select("name", fg.parse_category(fg.category(F.col("name"))).alias("category"))
+
+
 @query("parsed_id", ["spans"], "SELECT DISTINCT trace_id, span_id, trace_id * 4096 + span_id AS id FROM spans")
 def parsed_id(spans):
     hex_ = F.lower(F.hex(F.col("trace_id") * 4096 + F.col("span_id")))

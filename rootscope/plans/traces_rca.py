@@ -465,6 +465,16 @@ def detect_spot(series):
     return od.detect(_directed(series), DetectorConfig(spot=SpotConfig(calibration=40)))
 
 
+_XI = "(stream % 5 - 2) / 10e0"
+_SF = f"CASE WHEN y <= 0 THEN 1 WHEN abs({_XI}) < 1e-9 THEN exp(-y / 40) WHEN 1 + {_XI} * y / 40 <= 0 THEN 0 ELSE pow(1 + {_XI} * y / 40, -1 / nullif({_XI}, 0)) END"
+
+
+@query("gpd_sf", ["metrics"], f"SELECT service, name, stream, ts_us, {r(_SF)} AS sf FROM (SELECT *, value - 100 AS y FROM metrics)")
+def gpd_sf(metrics):
+    xi = (F.col("stream") % 5 - 2) / 10.0
+    return metrics.select("service", "name", "stream", "ts_us", od.pareto_sf(F.col("value") - 100, F.lit(40.0), xi).alias("sf"))
+
+
 @query("gpd_fit", ["metrics"])
 def gpd_fit(metrics):
     return od.fit_tails(metrics.withColumn("value", F.col("value") - 100).filter("value > 0"), ["service", "name"])

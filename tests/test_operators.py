@@ -276,7 +276,7 @@ def test_collected_messages_count_once(spark):
 
 
 def test_normal_tail():
-    assert fn.normal_sf(0) == 0.5 and fn.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6) and math.isinf(fn.normal_quantile(1.0))
+    assert fn.normal_sf(0) == 0.5 and fn.normal_cdf(1.0) == pytest.approx(0.8413447461) and fn.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6) and math.isinf(fn.normal_quantile(1.0))
 
 
 def test_split_joins_every_incident(spark):
