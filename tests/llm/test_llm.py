@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -84,6 +87,54 @@ def test_run_index_against_scan():
                 assert spans == joined([(i, i + 10) for i in range(len(c) - 9) if least[c[i : i + 10]] < d])
 
 
+def test_matching_statistics_are_brute_force():
+    r = random.Random(4)
+    for alphabet in (b"ab", b"abcde\0\xff"):
+        for _ in range(60):
+            base = bytes(r.choice(alphabet) for _ in range(80))
+            cut = lambda: base[(a := r.randint(0, 60)) : a + r.randint(1, 40)] + bytes(r.choice(alphabet) for _ in range(r.randint(0, 5)))
+            strings = [(cut(), r.randint(0, 2), r.random() < 0.5) for _ in range(12)]
+            text = np.frombuffer(b"".join(x for x, *_ in strings), np.uint8)
+            size = np.array([len(x) for x, *_ in strings], np.int64)
+            off, tags = np.cumsum(size) - size, np.array([t for _, t, _ in strings], np.int64)
+            held = np.array([h for *_, h in strings])
+            if held.all() or not held.any():
+                continue
+            for w in (1, 3, 9):
+                index = suffix_dedup.RunIndex(text, off[held], size[held], tags[held], w)
+                assert int(index.length.sum()) == int((size[held] + 1).sum())
+                got = sorted(index.matching_statistics(text, off[~held], size[~held], tags[~held]).tolist())
+                want = []
+                for (x, t, h), a in zip(strings, off.tolist()):
+                    own = [y for y, u, k in strings if k and u == t]
+                    want += [a + i for i in range(len(x) - w + 1) if not h and any(x[i : i + w] in y for y in own)]
+                assert got == sorted(want)
+
+
+def brute_bytes(rows, w=50):
+    first, out = {}, {}
+    for d, t in sorted(rows):
+        for i in range(len(t) - w + 1):
+            first.setdefault(t[i : i + w], d)
+    for d, t in rows:
+        out[d] = joined([(i, i + w) for i in range(len(t) - w + 1) if first[t[i : i + w]] < d])
+    return out
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 100])
+def test_keys_with_many_contents(spark, hot):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(90))
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = [(d, some(r.randint(0, 30)) + passage + some(r.randint(0, 30))) for d in range(700)]  # one passage in 700 settings
+    rows += [(700 + d, rows[d][1][5:]) for d in range(60)] + [(800 + d, "ab" * (40 + d % 3)) for d in range(120)]
+    rows += [(1000, "a" * 70_000), (1001, "b" + "a" * 69_000)]  # longer than what is streamed as one
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_bytes([(d, t.encode()) for d, t in rows])
+    out = suffix_dedup.result(df, suffix_dedup.repeated_bytes(df, hot=hot)).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in out} == {d: suffix_dedup.figures(t.encode(), want[d]) for d, t in rows}
+
+
 def brute_words(corpus):
     first, out = {}, {}
     for d, t in sorted(known(corpus)):
@@ -104,7 +155,7 @@ def test_substring_dedup_is_brute_force(docs, corpus, batches):
     assert rows_of(out.filter("doc_id is not null")) == want
 
 
-def test_earlier_batches_keep_every_holder_of_a_key(spark):
+def test_earlier_batches_keep_every_holder_of_a_key(spark, tmp_path):
     plan, r = substring_dedup.WordsPlan(), random.Random(3)
     some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
     old, new = [], []
@@ -121,25 +172,31 @@ def test_earlier_batches_keep_every_holder_of_a_key(spark):
             new += [" ".join(x.split()[starts[i] : starts[i] + 50]) for i, x in enumerate(three)]
     df = spark.createDataFrame(list(enumerate(old + new)), "doc_id long, text string")
     edges = (0, 6, len(old), len(old + new))
-    for fan_in in (1, 4):
-        index = substring_dedup.FingerprintIndex(spark, fan_in=fan_in)
+    for fan_in in (2, 4):
+        index = substring_dedup.FingerprintIndex(spark, str(tmp_path / str(fan_in)), fan_in=fan_in)
         first, second, last = (index.ingest(df.filter(F.col("doc_id").between(a, b - 1)).coalesce(1)) for a, b in zip(edges, edges[1:]))
         assert first.count() == second.count() == 0
         assert sorted(x.doc_id for x in last.collect()) == list(range(len(old), len(old + new)))
 
 
-def test_index_compacts_and_refuses_old_ids(spark, docs, corpus):
-    index = substring_dedup.FingerprintIndex(spark, fan_in=1)
-    marks = None
-    for a, b in ((0, 2), (3, 9), (10, 99)):
+def test_index_compacts_opens_again_and_refuses_old_ids(spark, docs, corpus, tmp_path):
+    path = str(tmp_path / "index")
+    marks, levels = None, []
+    for a, b in ((0, 2), (3, 5), (6, 9), (10, 99)):
+        index = substring_dedup.FingerprintIndex(spark, path)  # opened again for each batch
         m = index.ingest(docs.filter(F.col("doc_id").between(a, b)))
         marks = m if marks is None else marks.union(m)
-    assert len(index.runs) == 1
+        levels.append([r["level"] for r in index.runs])
+    assert levels == [[0], [1], [1, 0], [2]]
     spans = brute_words(corpus)
     got = {r.doc_id for r in marks.collect()}
     assert got == {d for (d, _), s in spans.items() if s}
     with pytest.raises(ValueError):
         index.ingest(docs.filter("doc_id = 5"))
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, path, window=40)
+    assert len(substring_dedup.FingerprintIndex(spark, path).runs) == 1
+    assert index.ingest(docs.filter("doc_id > 1000")).count() == 0  # an empty batch
 
 
 def test_line_dedup_is_brute_force(docs, corpus):
@@ -285,6 +342,10 @@ def test_large_cells_lose_no_link():
     fp = np.unique(np.concatenate([base, base ^ np.uint64(3), base ^ np.uint64(1 << 40)]))
     ends = lambda pairs: _groups(fp, pairs)
     assert ends(simhash.links(fp, 2, cell=5)) == ends(simhash.links(fp, 2))
+    pairs = [(int(a), int(b)) for i, a in enumerate(fp) for b in fp[:i] if int(a ^ b).bit_count() <= 2]
+    assert ends(pairs) == ends(simhash.links(fp, 2, cell=2))
+    alike = np.unique([sum(1 << int(k) for k in r.choice(64, 32, replace=False)) for _ in range(300)]).astype(np.uint64)
+    assert all(int(x).bit_count() == 32 for x in simhash.turned(alike, 5))
 
 
 def _groups(fp, pairs):
@@ -322,8 +383,8 @@ def test_decontamination_is_brute_force(spark, docs, corpus):
                     if tuple(w[i : i + n]) in pats:
                         hit |= set(range(i, i + n))
                         found |= pats[tuple(w[i : i + n])]
-            s = r["__spans"]
-            assert decontaminate.covered(list(zip(s[::2], s[1::2]))) == len(hit) and set(r["__items"]) == found and r["__n_words"] == len(w)
+            s = r["spans"]
+            assert decontaminate.covered(list(zip(s[::2], s[1::2]))) == len(hit) and set(r["items"]) == found and r["n_words"] == len(w)
     kept = decontaminate.remove_contaminated(docs, bench.limit(0))
     assert kept.columns == docs.columns and kept.count() == len(corpus)
 
@@ -360,8 +421,6 @@ def test_word_ids_are_the_tokenizers(text):
 
 def test_quality_by_definition(docs, corpus):
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.quality_figures(docs, ["doc_id"]).collect()}
-    import re
-
     want = set()
     for d, t, *_ in corpus:
         t = t or ""
@@ -388,14 +447,14 @@ def test_last_and_short_chunks_are_judged():
     z, r = zstandard.ZstdCompressor(level=3), random.Random(4)
     prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(n))[:n].encode()
     noise = lambda n: bytes(r.randrange(33, 256) for _ in range(n))
-    n_chunks, bad = quality.judge(prose(900), z)[8:]
+    n_chunks, bad = quality.judge(prose(900), z)[8:10]
     assert (n_chunks, bad) == (1, 0)
-    assert quality.judge(prose(2048) + noise(900), z)[8:] == (3, 1)  # the tail is noise
-    assert quality.judge(prose(8192) + noise(3 * 1024), z)[8:] == (11, 3)
+    assert quality.judge(prose(2048) + noise(900), z)[8:10] == (3, 1)  # the tail is noise
+    assert quality.judge(prose(8192) + noise(3 * 1024), z)[8:10] == (11, 3)
     mixed = prose(1100) + noise(1972)
-    assert quality.in_band(len(mixed), 1.4) and quality.judge(mixed, z)[8:] == (3, 2) and not quality.judge(mixed, z)[6]
-    assert quality.judge(prose(4096) + (b"again and " * 400)[:3000], z, 4096)[8:] == (2, 1)
-    assert quality.judge(b"", z)[8:] == (0, 0)
+    assert quality.in_band(len(mixed), 1.4) and quality.judge(mixed, z)[8:10] == (3, 2) and not quality.judge(mixed, z)[6]
+    assert quality.judge(prose(4096) + (b"again and " * 400)[:3000], z, 4096)[8:10] == (2, 1)
+    assert quality.judge(b"", z)[8:10] == (0, 0)
 
 
 def test_licences(spark):
@@ -447,6 +506,117 @@ def test_html(spark):
     assert [r.n_chars for r in got] == [len(r.text) for r in got] and len(got) == 3
 
 
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    out = language.op1(spark, sf).collect()
+    known = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()}
+    assert len(out) == len(known) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    held = [r for r in out if r.held_out and known[r.doc_id].lang is not None and any(c.isalpha() for c in known[r.doc_id].text or "")]
+    assert len(held) > 100 and sum(r.lang_pred == known[r.doc_id].lang for r in held) >= 0.98 * len(held)
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in known[r.doc_id].text or "")) for r in out)
+
+
+def test_marks_are_no_words(spark):
+    df = spark.createDataFrame([(i, x, x) for i, x in enumerate(["de", "en"] * 3)], "doc_id long, text string, lang string")
+    m = language.fit(df, "doc_id")
+    for text in ("\u0301 \u0308", "\u0301", "12 \u0301!"):
+        assert m.label(text) == ("und", 0.0, []) and next(iter(language.labelled_batch(m, [text], 12.0))) == ("und", 0.0, [])
+    assert m.label("a\u0301 \u0301")[0] != "und"
+
+
+class Article(HTMLParser):
+    """Blocks of text in the article, by the standard library's parser, without elements that are no content."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.held = [], [], []
+
+    def inside(self):
+        return any(n == "article" for n, _ in self.open) and not any(d for _, d in self.open)
+
+    def cut(self, name):
+        if name not in html_text.INLINE:
+            self.blocks.append("".join(self.held))
+            self.held = []
+
+    def handle_starttag(self, name, attrs):
+        text = "".join(f' {k}="{v or ""}"' for k, v in attrs)
+        within = sum(n in ("article", "main") for n, _ in self.open)
+        self.held += [" "] if name == "br" else []
+        if name != "br":
+            self.cut(name)
+        if name not in html_text.VOID:
+            self.open.append((name, html_text.marked(name, text, within)))
+
+    def handle_endtag(self, name):
+        self.cut(name)
+        at = max((i for i, (n, _) in enumerate(self.open) if n == name), default=None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        if self.inside():
+            self.held.append(data)
+
+
+def test_html_is_the_article(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.page_id: r for r in html_text.op2(spark, sf).collect()}
+    same = total = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        if (r.html or "").count("<article") != 1:
+            continue
+        p = Article()
+        p.feed(r.html)
+        p.close()
+        want = "\n".join(x for x in (" ".join(b.split()) for b in [*p.blocks, "".join(p.held)]) if x)
+        total += 1
+        same += want == got[r.page_id].text and got[r.page_id].n_chars == len(want)
+    assert total > 20 and same >= 0.98 * total
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " * 350_000 + '"', '<a ">" ' * 150_000 + "'", "<b>" * 150_000 + "</i>" * 150_000, "<ul>" + "<b>" * 100_000 + "<li/>" * 100_000, "<!--" * 250_000, "<" * 1_000_000]
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page, {"?": -0.25, "-": -0.05})
+    assert time.process_time() - began < 30
+
+
+def test_licences_are_brute_force():
+    a, r = licenses.automaton(), random.Random(3)
+    words = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "GNU", "x1", "é", "mit"]
+    phrases = {p: tuple(p.split()) for p in licenses.BASE}
+    for n in (0, 1, 5, 40, 400):
+        for _ in range(30):
+            text = "".join(r.choice(words) + r.choice([" ", "-", "\n", "_", ", "]) for _ in range(n))
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+            at = [(i, p) for p, own in phrases.items() for i in range(len(w)) if tuple(w[i : i + len(own)]) == own]
+            got = licenses.scan(text.encode(), a)
+            starts = [i for i, _ in at]
+            base = ",".join(sorted({licenses.BASE[p] for _, p in at}))
+            assert got[:5] == (len(w), len(at), min(starts, default=None), max(starts, default=None), base)
+            assert set(base.split(",")) <= {*got[5].split(","), ""} and 0 <= got[6] <= 1
+    began = time.process_time()
+    assert licenses.scan(b"cc by " * 100_000, a)[:4] == (200_000, 100_000, 0, 199_998)
+    assert len(licenses.scan(b"SPDX-License-Identifier: MIT OR GPL-2.0\n" * 20_000, a)[7]) == 20_000
+    assert time.process_time() - began < 30
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "spans", "items", "n_words", "raw", "page", "m_id", "keys", "th"]
+    df = spark.createDataFrame([(i, f"one two three {i} four\nfive six\nseven", *([str(i)] * 8)) for i in range(3)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    bench = spark.createDataFrame([("1", "six seven")], "item_id string, text string")
+    found = decontaminate.contamination(df, bench)
+    assert found.columns[: len(names)] == names and [r[-2] for r in found.collect()] == [[6, 8]] * 3 and decontaminate.remove_contaminated(df, bench).count() == 0
+    assert line_dedup.remove_lines(df, whole=True).columns == names
+    assert html_text.extract(df.withColumn("html", F.col("text")), {"?": -0.25}, ["page", "raw"], "html").columns == ["page", "raw", "text", "n_chars"]
+    assert language.identify(df, language.fit(df.withColumn("lang", F.lit("en")), "doc_id"), ["raw", "th"]).count() == 3
+    assert licenses.license_scan(df, ["raw", "th"]).columns[:2] == ["raw", "th"]
+    assert simhash.one_of_each(df).columns == names and near_copies.first_copies(df).columns == names
+
+
 def test_empty_tables(spark, empty):
     assert suffix_dedup.result(empty, suffix_dedup.repeated_bytes(empty)).count() == 0
     assert finished(empty, substring_dedup.repeated_words(empty), substring_dedup.figures, "n_words long, n_removed long, kept_sha256 string").count() == 0
@@ -456,20 +626,103 @@ def test_empty_tables(spark, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def brute_quality(texts):
+    """Texts that the base rules and bands fitted on all texts keep."""
+    z = zstandard.ZstdCompressor(level=3)
+    ratio = lambda x: len(x) / len(z.compress(x))
+    cut = lambda x: [x[i : i + 1024] for i in range(0, len(x), 1024)]
+    cls = lambda x: int(4 * np.log2(len(x)))
+    held = {}
+    for x in texts:
+        if x:
+            held.setdefault((0, cls(x)), []).append(ratio(x))
+            for c in cut(x):
+                held.setdefault((1, cls(c)), []).append(ratio(c))
+
+    def ok(kind, x):
+        v = np.sort(np.floor(np.minimum(50, np.array(held[kind, cls(x)])) * 200))
+        if len(v) < 100:
+            return quality.in_band(len(x), ratio(x))
+        a, m, b = (v[int(np.ceil(q * len(v))) - 1] for q in (0.25, 0.5, 0.75))
+        low, high = (m + 0.5 - 5 * max(1, m - a) / 0.6745) / 200, (m + 0.5 + 5 * max(1, b - m) / 0.6745) / 200
+        return low <= ratio(x) <= high
+
+    def keep(x):
+        w = x.split()
+        n3 = Counter(zip(w, w[1:], w[2:]))
+        rep = {j for i in range(len(w) - 2) if n3[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        if len(w) < 50 or 100 * len(rep) > 50 * len(w):
+            return False
+        return ok(0, x) and 2 * sum(not ok(1, c) for c in cut(x)) <= len(cut(x))
+
+    return [keep(x) for x in texts]
+
+
+def brute_near(rows):
+    """Least doc_id of each component of five-word shingle sets alike to 0.8."""
+    sets = []
+    for _, t in rows:
+        w = [x.lower() for x in t.split()]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    pairs = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return _groups([d for d, _ in rows], pairs) if pairs else {d: d for d, _ in rows}
+
+
+def test_bands_reject_repetition_and_noise(spark):
+    r = random.Random(7)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(n))
+    clean = [prose(r.randint(150, 300)) for _ in range(1500)]
+    junk = [" ".join(f"{w}{'###' if i % 2 else '%%%'}" for i, w in enumerate(prose(200).split())) for _ in range(20)]
+    noise = [" ".join("".join(chr(r.randrange(33, 127)) for _ in range(6)) for _ in range(200)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate([*clean, *junk, *noise])]
+    out = {x.doc_id: x for x in quality.quality_figures(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert sum(out[i].kept for i in range(1500)) >= 1495
+    assert not any(out[i].kept for i in range(1500, len(rows))) and all(out[i].ratio_failed or out[i].chunks_failed for i in range(1500, len(rows)))
+    assert [out[i].kept for i, _ in rows] == brute_quality([t.encode() for _, t in rows])
+    assert quality.fit_bands(spark.createDataFrame(rows[:0], "doc_id long, text string")) == {}
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    z = zstandard.ZstdCompressor(level=3)
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = spark.createDataFrame(stage(spark, before, sf).collect(), docs.schema)
-        assert after.columns == docs.columns
-        if name == "quality_rules":
-            want = {r.doc_id for r in before.collect() if quality.judge((r.text or "").encode(), z)[6]}
-            assert {r.doc_id for r in after.collect()} == want
-        if name == "simhash_near_dedup":
-            found = simhash.near_duplicates(before).collect()
-            assert {r.doc_id for r in after.collect()} == {r.doc_id for r in found if r.component_id == r.doc_id}
-        before = after
-    pieces = corpus_pipeline.STAGES[-1][1](spark, before, sf)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    step = lambda name, df: spark.createDataFrame(stages[name](spark, df, sf).collect(), docs.schema)
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    good = step("quality_rules", docs)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    assert texts(good).keys() == {d for (d, _), k in zip(rows, brute_quality([t for _, t in rows])) if k}
+
+    lined = step("line_dedup", good)
+    assert texts(lined) == {d: t for d, t in brute_lines(list(texts(good).items())).items() if t.split()}
+    assert all(r.n_chars == len(r.text) for r in lined.collect())
+
+    apart = step("simhash_near_dedup", lined)
+    roots = brute_near(list(texts(lined).items()))
+    assert texts(apart) == {d: t for d, t in texts(lined).items() if roots[d] == d}
+
+    clean = step("benchmark_decontamination", apart)
+    cut = lambda t: (t or "").encode().translate(decontaminate.ALNUM).split()
+    bad = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = cut(r.text)
+        n = min(10, len(w))
+        bad |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+    sizes = {len(x) for x in bad}
+    hit = {d for d, t in texts(apart).items() if any(tuple(cut(t)[i : i + n]) in bad for n in sizes for i in range(len(cut(t)) - n + 1))}
+    assert texts(clean) == {d: t for d, t in texts(apart).items() if d not in hit}
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    pieces = stages["best_fit_packing"](spark, clean, sf).collect()
+    want = Counter()
+    for d, t in texts(clean).items():
+        x = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        for k, a in enumerate(range(0, len(x), 2048)):
+            want[d, k, a, len(x[a : a + 2048]), zlib.crc32(x[a : a + 2048].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces) == want
+    filled = Counter()
+    for r in pieces:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 2048 and len(filled) <= -(-sum(filled.values()) // 2048) + 1
