@@ -344,7 +344,7 @@ def test_large_cells_lose_no_link():
     assert ends(simhash.links(fp, 2, cell=5)) == ends(simhash.links(fp, 2))
     pairs = [(int(a), int(b)) for i, a in enumerate(fp) for b in fp[:i] if int(a ^ b).bit_count() <= 2]
     assert ends(pairs) == ends(simhash.links(fp, 2, cell=2))
-    alike = np.unique([sum(1 << int(k) for k in r.choice(64, 32, replace=False)) for _ in range(300)]).astype(np.uint64)
+    alike = np.array([sum(1 << int(k) for k in r.choice(64, 32, replace=False)) for _ in range(300)], np.uint64)
     assert all(int(x).bit_count() == 32 for x in simhash.turned(alike, 5))
 
 
@@ -725,4 +725,6 @@ def test_pipeline_stages(spark):
     filled = Counter()
     for r in pieces:
         filled[r.sequence_id] += r.length
-    assert max(filled.values()) <= 2048 and len(filled) <= -(-sum(filled.values()) // 2048) + 1
+    # No two sequences could be one, and there are hardly more than the tokens need.
+    least = -(-sum(filled.values()) // 2048)
+    assert max(filled.values()) <= 2048 and sum(sorted(filled.values())[:2]) > 2048 and len(filled) <= 1.02 * least + 2, (len(filled), least)
