@@ -25,9 +25,21 @@ def timed(df: DataFrame, ts_us: str = "ts_us") -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros(ts_us))
 
 
-def not_ahead(df: DataFrame, now_us: int, resolution_us: int) -> DataFrame:
-    """Without points too far in the future."""
-    return df.filter(F.col("ts_us") < now_us + MAX_AHEAD_WINDOWS * resolution_us)
+def not_ahead(df: DataFrame, now_us: int, resolution_us: int, name: str = "points") -> DataFrame:
+    """Without points too far in the future. A query's progress has, under `name`, how many were seen and how many left out."""
+    far = F.col("ts_us") >= now_us + MAX_AHEAD_WINDOWS * resolution_us
+    return df.observe(name, F.count(F.lit(1)).alias("seen"), F.count_if(far).alias("ahead")).filter(~far)
+
+
+def dropped(query, name: str = "points") -> dict[str, int]:
+    """Of a query so far: points seen, too far ahead, and too late for their windows."""
+    out = {"seen": 0, "ahead": 0, "late": 0}
+    for p in query.recentProgress:
+        if (row := p.observedMetrics.get(name)) is not None:
+            out["seen"] += row["seen"]
+            out["ahead"] += row["ahead"]
+        out["late"] += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+    return out
 
 
 def metric_windows(points: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:

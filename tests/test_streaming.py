@@ -40,3 +40,21 @@ def test_sessions(spark):
     stream, at = written(spark, rows, schema)
     got = {r.trace_id: len(r.spans) for r in p.run_available(p.traces(stream), at, "t").collect()}
     assert got and set(got.values()) == {3}
+
+
+def test_late_and_future_points_are_counted(spark):
+    schema = "service string, name string, stream long, ts_us long, value double"
+    path, second = tempfile.mkdtemp(dir="/tmp") + "/in", 1_000_000
+    rows = lambda *times: spark.createDataFrame([("s", "cpu", 1, t * second, 1.0) for t in times], schema).coalesce(1)
+    rows(1000, 1005, 10_000_000).write.parquet(path)  # the last is too far ahead
+    out = p.metric_windows(p.not_ahead(spark.readStream.schema(schema).parquet(path), 1_000 * second, 10 * second))
+    at = tempfile.mkdtemp(dir="/tmp")
+    start = lambda: out.writeStream.format("parquet").option("path", at + "/out").outputMode("append").option("checkpointLocation", at + "/state").trigger(availableNow=True).start()
+    found = {"seen": 0, "ahead": 0, "late": 0}
+    for more in (None, (2000,), (1001, 2005)):  # 1001 comes after the watermark has passed it
+        if more:
+            rows(*more).write.mode("append").parquet(path)
+        q = start()
+        q.awaitTermination()
+        found = {k: v + found[k] for k, v in p.dropped(q).items()}
+    assert found == {"seen": 6, "ahead": 1, "late": 1}
