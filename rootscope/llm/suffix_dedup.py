@@ -27,14 +27,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 from .hashing import _BYTE, powers
 from .shared import HOT, Units, hot_keys, joined, least_runs, marks_from, mixed, n_buckets, packed, shared_keys, wanted_keys, with_figures
 
 #: Bytes of a window and of the grams that choose units.
 WINDOW, GRAM = 50, 24
-#: Windows of a string that are streamed as one, longer strings go in parts; bits of a table of hashes.
-STREAMED, SLOTS = 128, 24
+#: Windows of a string that are streamed as one, longer strings go in parts; bits of a table of hashes; bytes of a block.
+STREAMED, SLOTS, BLOCK = 128, 23, 1 << 20
 
 
 class RunIndex:
@@ -250,6 +250,21 @@ class BytesPlan:
     def resolve(self, groups):
         """Spans of windows that an earlier document's content of the group has too, for each content.
 
+        Groups go in blocks of about BLOCK bytes. What a block took goes back to the system before the next one: workers
+        live on from task to task, and what they keep counts as their executor's.
+        """
+        size = np.array([sum(len(c) for c, _ in g) for g in groups], np.int64)
+        block = (np.cumsum(size) - size) // BLOCK
+        cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(groups)]
+        out = []
+        for i, j in zip(cut, cut[1:]):
+            out += self._block(groups[i:j])
+            released()
+        return out
+
+    def _block(self, groups):
+        """resolve() of one block.
+
         Documents of a group are numbered in their order. In round r, those of each even block of 2 ** r numbers are
         indexed, and those of the odd block after it are streamed: each two documents meet once, the earlier
         one in the index. The blocks of a group have tags of their own, so all groups' blocks go into one index.
@@ -277,6 +292,7 @@ class BytesPlan:
         part = (w + self.gram) // 2
         up, down = powers(len(text))
         total = np.append(np.uint64(0), np.cumsum(_BYTE[text] * up))
+        del up
 
         def slot(at: np.ndarray) -> np.ndarray:
             h = (total[at + part] - total[at]) * down[at] + group[np.searchsorted(off, at, "right") - 1].astype(np.uint64)

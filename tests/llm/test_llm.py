@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -135,6 +136,22 @@ def test_keys_with_many_contents(spark, hot):
     assert {x.doc_id: tuple(x)[1:] for x in out} == {d: suffix_dedup.figures(t.encode(), want[d]) for d, t in rows}
 
 
+def test_many_contents_are_matched_in_little_memory():
+    r = random.Random(4)
+    groups = []
+    for g in range(48):  # 4 MB: of each two contents, the second has half of the first
+        a = r.randbytes(42_000)
+        groups.append([(a, 2 * g), (a[:21_000] + bytes([a[21_000] ^ 1]) + r.randbytes(20_999), 2 * g + 1)])
+    plan = suffix_dedup.BytesPlan()
+    plan.resolve(groups[:1])
+    tracemalloc.start()
+    got = plan.resolve(groups)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [[[], [(0, 21_000)]]] * 48
+    assert most < 200 << 20
+
+
 def brute_words(corpus):
     first, out = {}, {}
     for d, t in sorted(known(corpus)):
