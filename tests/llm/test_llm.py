@@ -325,6 +325,48 @@ def test_near_copies_are_brute_force_jaccard(spark, docs, corpus):
     assert near_copies.near_copies(df.limit(0)).count() == 0
 
 
+def test_near_copies_meet_by_simhash():
+    r = np.random.default_rng(6)
+    for n in (1, 4, 16, 17, 600):
+        held = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        bits = np.unpackbits(near_copies.fingerprint(held).view(np.uint8), bitorder="little")
+        ones = np.zeros(len(bits), int)
+        for x in held:
+            h = near_copies.mixed((x ^ near_copies._SEEDS[0, : len(bits) // 64]) * near_copies._SEEDS[1, : len(bits) // 64])
+            ones += np.unpackbits(h.view(np.uint8), bitorder="little")
+        assert len(bits) == 64 * near_copies.WORDS * (1 if n > near_copies.SMALL else 2) and (bits == (2 * ones > n)).all()
+    for common, more in ((4, (0, 1)), (8, (1, 1)), (20, (5, 0)), (80, (10, 10)), (800, (100, 100))):  # similarity 0.8
+        for _ in range(40):
+            x = r.integers(0, 1 << 63, common + sum(more), dtype=np.uint64)
+            two = [near_copies.fingerprint(np.unique(y)) for y in (x[: common + more[0]], np.append(x[:common], x[common + more[0] :]))]
+            short = min(map(len, two))
+            (c, w), (d, v) = (near_copies.cells(f[None, :short].copy()) for f in two)
+            assert ((c == d) & (np.bitwise_count(w ^ v) <= near_copies.RADIUS)).any()
+
+
+def test_linked_cells_are_brute_force():
+    r = np.random.default_rng(8)
+    word = r.integers(0, 1 << 63, 12, dtype=np.uint64)[r.integers(0, 12, 300)]
+    for _ in range(9):  # chains, too: up to nine steps of one bit in each word
+        word ^= np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)
+        word ^= np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)
+    cell, fp = r.integers(0, 9, 300).astype("<u4"), r.permutation(300)
+    label, changed = list(range(300)), True
+    while changed:
+        changed = False
+        for i in range(300):
+            for j in range(300):
+                if cell[i] == cell[j] and int(word[i] ^ word[j]).bit_count() <= near_copies.RADIUS and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    want = [sorted(fp[i] for i in range(300) if label[i] == k) for k in set(label)]
+    for joined_at in (1 << 18, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_copies, "JOINED", joined_at)
+            got = [x.tolist() for x in near_copies.linked_cells(cell, word, fp)]
+        assert sorted(got) == sorted(x for x in want if len(x) > 1)
+
+
 @pytest.mark.parametrize("distance", [3, 9])
 def test_simhash_at_other_distances_is_brute_force(spark, distance):
     r = random.Random(6)
