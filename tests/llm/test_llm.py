@@ -367,6 +367,60 @@ def test_linked_cells_are_brute_force():
         assert sorted(got) == sorted(x for x in want if len(x) > 1)
 
 
+def test_near_copies_send_each_set_once(spark, monkeypatch):
+    r = random.Random(9)
+    base, rows = [f"v{r.randrange(5000)}" for _ in range(200)], []
+    for i in range(150):  # one group of near copies, on either side of similarity 0.8
+        own = list(base)
+        for at in r.sample(range(200), 1 + i % 4):
+            own[at] = f"o{i}"
+        rows.append((i, " ".join(own)))
+    sets = [near_copies.shingles(t.encode()) for _, t in rows]
+    both = [(a, b, len(np.intersect1d(sets[a], sets[b]))) for b in range(150) for a in range(b)]
+    linked = [(a, b) for a, b, n in both if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    assert 0 < len(linked) < len(both)
+    label, made, stored = _groups(range(150), linked), {}, near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", lambda df, name: made.setdefault(name, stored(df, name)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()} == label
+    # However many cells a group shares, it has a row for each set, and links that span it.
+    assert made["candidates"].count() == made["candidates"].select("fp").distinct().count() <= 150
+    assert made["links"].count() < 150
+
+
+def test_forests_span_the_links():
+    r = np.random.default_rng(4)
+    a, b = r.integers(-400, 400, (2, 500)) << 40
+    want = _groups(np.concatenate([a, b]), list(zip(a.tolist(), b.tolist())))
+    for joined_at in (1 << 18, 60, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_copies, "JOINED", joined_at)
+            out = list(near_copies._forests(iter(zip(np.split(a, 50), np.split(b, 50)))))
+            assert len(out) > 1 if joined_at == 0 else len(out[-1][0]) <= 800
+        u, v = np.concatenate(out, axis=1)
+        assert (v < u).all() and _groups(np.concatenate([a, b]), list(zip(u.tolist(), v.tolist()))) == want
+    u, v = near_copies.forest(a, b)
+    assert len(np.unique(u)) == len(u) and dict(zip(u.tolist(), v.tolist())) == {x: y for x, y in want.items() if x != y}
+
+
+def test_both_words_keep_near_copies():
+    r = np.random.default_rng(7)
+    for common, more in ((4, (0, 1)), (8, (1, 1)), (20, (5, 0)), (80, (10, 10)), (800, (100, 100))):  # similarity 0.8
+        for _ in range(40):
+            x = r.integers(0, 1 << 63, common + sum(more), dtype=np.uint64)
+            two = [near_copies.fingerprint(np.unique(y)) for y in (x[: common + more[0]], np.append(x[:common], x[common + more[0] :]))]
+            prints = np.stack([f[: min(map(len, two))] for f in two])
+            cell, word = near_copies.cells(prints)
+            other = near_copies.compared(prints, near_copies.WORDS // 4)
+            name = np.repeat([5, 3], cell.shape[1])
+            found = list(near_copies.linked_cells(cell.ravel(), word.ravel(), name, other.ravel()))
+            assert found and all(f.tolist() == [3, 5] for f in found)
+    far = np.array([0, (1 << 21) - 1], np.uint64)  # alike in one word, 21 bits apart in the other
+    alike = np.zeros(2, np.uint64)
+    assert not list(near_copies.linked_cells(np.zeros(2, "<u4"), alike, np.arange(2), far))
+    assert list(near_copies.linked_cells(np.zeros(2, "<u4"), alike, np.arange(2), far >> np.uint64(1)))
+
+
 @pytest.mark.parametrize("distance", [3, 9])
 def test_simhash_at_other_distances_is_brute_force(spark, distance):
     r = random.Random(6)
