@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import together
+
 SPAN = ["trace_id", "span_id", "parent_id", "service", "operation", "kind", "start_ns", "end_ns", "status", "peer"]
 
 
@@ -94,7 +96,7 @@ def _by_trace(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
 
 
 def _traced(spans: DataFrame) -> DataFrame:
-    return spans.select(*_ORDER).repartition("trace_id").sortWithinPartitions(*_ORDER)
+    return together(spans.select(*_ORDER), "trace_id").sortWithinPartitions(*_ORDER)
 
 
 def _flushed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

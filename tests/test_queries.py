@@ -45,3 +45,21 @@ def test_matches_sql(spark, con, name):
     columns = [c[0] for c in r.description]
     assert sorted(df.columns) == sorted(columns)
     assert canonical([tuple(x) for x in df.collect()], df.columns) == canonical(r.fetchall(), columns)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["skew_offsets", "call_edges", "service_visits", "error_origins", "window_services"])
+def test_traces_stay_whole_where_joins_shuffle(spark, con, name):
+    """As on large tables: nothing is broadcast, and the sides of the union of spans are coalesced differently."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = QUERIES[name](spark, DATA)
+        got = canonical([tuple(x) for x in df.collect()], df.columns)
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    r = con.execute(ORACLE[name])
+    assert got == canonical(r.fetchall(), [c[0] for c in r.description])
