@@ -289,3 +289,39 @@ def test_split_joins_every_incident(spark):
     odd = spark.createDataFrame([("long", 0.5, -400_000.25, 500_000.0), ("none", 5.0, 9.0, 9.0), ("null", 5.0, None, 9.0)], "incident string, t0_s double, from_s double, to_s double")
     times = spark.createDataFrame([(x,) for x in (-400_000.5, -400_000.25, -86_400.0, 0.0, 86_399.5, 432_000.0, 499_999.5, 500_000.0, None)], "time_s double")
     assert sorted((r.incident, r.t_s) for r in scores.split(times, odd).collect()) == [("long", x - 0.5) for x in (-400_000.25, -86_400.0, 0.0, 86_399.5, 432_000.0, 499_999.5)]
+
+
+def test_training_is_plain_newton(spark, monkeypatch):
+    """Loss, gradient and Hessian over blocks of cases, and the weights, against a loop over cases; some cases have no true candidate, some two."""
+    rng = np.random.default_rng(5)
+    names = [f for f in evaluation.FEATURES if f != "in_graph"]
+    groups = []
+    for n in rng.integers(1, 9, 60):
+        x, y = rng.normal(size=(n, len(names))), rng.random(n) < 0.3
+        x[:, 0] += y
+        groups.append((x, y))
+    rows = [(str(i), bool(t), 0.0, *map(float, v)) for i, (x, y) in enumerate(groups) for t, v in zip(y, x)]
+    df = spark.createDataFrame(rows, "incident string, truth boolean, in_graph double, " + ", ".join(f"{n} double" for n in names))
+    every = np.vstack([x for x, _ in groups])
+    mean, scale = every.mean(0), every.std(0)
+
+    def plain(w):
+        loss, g, h = 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for x, y in groups:
+            if y.any():
+                x = (x - mean) / scale
+                p = np.exp(x @ w) / np.exp(x @ w).sum()
+                m = p @ x
+                loss, g, h = loss - np.log(p[y].sum()), g + m - x[y].mean(0), h + (x * p[:, None]).T @ x - np.outer(m, m)
+        return loss, g, h
+
+    monkeypatch.setattr(evaluation, "BLOCK", 10)
+    w = rng.normal(size=len(names))
+    for a, b in zip(evaluation.partials(evaluation.cases(df, "truth", dict(zip(names, mean.tolist())), dict(zip(names, scale.tolist()))), w), plain(w)):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+    w = np.zeros(len(names))
+    for _ in range(50):
+        _, g, h = plain(w)
+        w = w - np.linalg.solve(h + np.eye(len(w)), g + w)
+    fitted = evaluation.fit(df, "truth")["weights"]
+    np.testing.assert_allclose([fitted[n] for n in names], w, atol=1e-5)
