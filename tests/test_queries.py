@@ -63,3 +63,24 @@ def test_traces_stay_whole_where_joins_shuffle(spark, con, name):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     r = con.execute(ORACLE[name])
     assert got == canonical(r.fetchall(), [c[0] for c in r.description])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_training_goes_on_until_it_converges(spark, monkeypatch):
+    import numpy as np
+
+    from rootscope.operators import evaluation
+
+    fit, seen = evaluation.fit, []
+    monkeypatch.setattr(evaluation, "fit", lambda f, *a, **k: seen.append((f, fit(f, *a, **k))) or seen[0][1])
+    QUERIES["ltr_fit"](spark, DATA)
+    feats, m = seen[0]
+    names = list(m["weights"])
+    w, mean, scale = (np.array([m[k][n] for n in names]) for k in ("weights", "mean", "scale"))
+    rows = feats.select("incident", "truth", *names).toPandas()
+    slope = w.copy()
+    for _, g in rows.groupby("incident"):
+        x = (g[names].to_numpy(float) - mean) / scale
+        p = np.exp(x @ w - (x @ w).max())
+        slope += p @ x / p.sum() - x[g["truth"].to_numpy()].mean(0)
+    assert abs(slope).max() < 1e-3
