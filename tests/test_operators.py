@@ -325,3 +325,40 @@ def test_training_is_plain_newton(spark, monkeypatch):
         w = w - np.linalg.solve(h + np.eye(len(w)), g + w)
     fitted = evaluation.fit(df, "truth")["weights"]
     np.testing.assert_allclose([fitted[n] for n in names], w, atol=1e-5)
+
+
+def plain_template(templates, words, least):
+    """By a loop over a leaf's templates: the one that takes the line, or None."""
+    best, how = None, (-1.0, -1)
+    for t in templates:
+        same = sum(a == b for a, b in zip(t.words, words))
+        loose = sum(a != b and a == "<*>" for a, b in zip(t.words, words))
+        if (key := (same / len(words) if words else 1.0, loose)) > how:
+            best, how = t, key
+    return best if best is not None and how[0] >= least else None
+
+
+def test_miner_is_the_plain_loop():
+    rng = np.random.default_rng(7)
+    m = Miner(max_children=4, max_templates=12)
+    m.most_numbers = 20
+    for i in range(4000):
+        words = [str(w) if w < 9 else "<*>" for w in rng.integers(0, 10, rng.integers(0, 6))] + [f"n{i % 300}"] * bool(rng.random() < 0.3)
+        leaf = m._leaf(words)
+        expected = plain_template([m.templates[x] for x in leaf.members], words, m.least)
+        merged = [a if a == b else "<*>" for a, b in zip(expected.words, words)] if expected else words
+        got = m.add(words, i)
+        assert got.words == merged and (got is expected if expected else got.id == m.made - 1)
+        assert len(m.templates) <= 12
+    assert m.evicted > 100 and len(m.numbers) <= 100
+
+
+def test_miner_meets_many_templates_at_once():
+    import time
+
+    lines = [["a", "b", *(f"{i}-{k}" for k in range(58))] for i in range(4000)]
+    m = Miner()
+    began = time.process_time()
+    for i, words in enumerate(lines[:4000:2] + lines[:4000:2]):
+        m.add(words, i)
+    assert m.made == 2000 and time.process_time() - began < 20
