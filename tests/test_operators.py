@@ -362,3 +362,21 @@ def test_miner_meets_many_templates_at_once():
     for i, words in enumerate(lines[:4000:2] + lines[:4000:2]):
         m.add(words, i)
     assert m.made == 2000 and time.process_time() - began < 20
+
+
+def test_attributes_and_ids_of_documents(spark):
+    value = lambda k, v: '{"key":%s,"value":{"stringValue":"%s"}}' % (k, v)
+    one = lambda trace, *a: ('{"resourceSpans":[{"resource":{"attributes":[%s]},"scopeSpans":[{"spans":[{"traceId":"%s","spanId":"00000000000000AB","kind":3,"attributes":[%s]}]}]}]}' % (value('"service.name"', "shop"), trace, ",".join(a)),)
+    good, peer = "0" * 31 + "1", '"peer.service"'
+    rows = [one(good, value(peer, "a"), value(peer, "b")), one(good, value("null", "x"), value(peer, "c")), one(good, value(peer, "d"), value('"k"', "e")), one(good)]
+    rows += [one("0" * 32, value(peer, "z")), one("0" * 30 + "1", value(peer, "y")), one("g" * 32, value(peer, "x")), one("0" * 31 + "1\\n", value(peer, "w"))]
+    got = otlp_json.spans(spark.createDataFrame(rows, "value string")).collect()
+    assert sorted(r.peer for r in got) == ["", "b", "c", "d"] and {r.span_id for r in got} == {"00000000000000ab"}
+
+
+def test_wire_fields_of_one_and_more_bytes():
+    b = otlp_proto.put(1, 5) + otlp_proto.put(300, 1 << 40) + otlp_proto.put(2, "x" * 200) + otlp_proto.put(3, "y")
+    assert list(otlp_proto.fields(b)) == [(1, 0, 5), (300, 0, 1 << 40), (2, 2, b"x" * 200), (3, 2, b"y")]
+    for bad in (b"\x0a\x05ab", b"\x08", b"\x08\x80", b"\x0a", b"\x02\x01", b"\x0b"):
+        with pytest.raises(otlp_proto.WireError):
+            list(otlp_proto.fields(bad))
